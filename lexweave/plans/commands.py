@@ -6,6 +6,7 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
     spark = spark or SparkSession.builder.appName("lexweave").getOrCreate()
     try:
         return _run(a, spark, client, say)
-    except (ValueError, OSError) as x:
+    except (ValueError, OSError, AnalysisException) as x:
         say(f"error: {x}")
         return 1
 
