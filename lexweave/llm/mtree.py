@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from lexweave.shipping import ship
 
 #: Entries of a page.
-PAGE = 64
+PAGE = 256
+#: Squared lengths stay below this, so that scores are exact.
+EXACT = 2**52
 #: Vectors of a tree and queries that are taken through it in one go, on average.
 TREE_ROWS, QUERY_ROWS = 8192, 1024
 #: Relative slack of float bounds; scores themselves are exact integers.
@@ -37,62 +39,57 @@ class Tree:
         starts = np.searchsorted(inverse.reshape(-1)[order], np.arange(len(distinct)))
         stops = np.append(starts[1:], len(order))
         self.ids = [ids[order[a : min(b, a + keep)]].tolist() for a, b in zip(starts, stops, strict=True)]
-        self.vectors = distinct.astype(np.int64)
-        norms = (self.vectors**2).sum(axis=1)
-        self.top = int(norms.max(initial=0))
-        self.points = np.column_stack([self.vectors, np.sqrt(self.top - norms)]).astype(float)
-        #: Pages: (entries, distances of entries to the routing object, radii or None in a leaf, child pages).
+        norms = (distinct.astype(object) ** 2).sum(axis=1) if len(distinct) else np.empty(0, object)
+        if len(norms) and max(norms) >= EXACT:
+            raise ValueError("squared lengths from 2 to the 52 on have no exact scores")
+        #: Whole numbers below EXACT, so float products and their sums are exact, and use BLAS.
+        self.vectors, self.norms = distinct.astype(float), norms.astype(float)
+        self.top = float(self.norms.max(initial=0))
+        #: The coordinate that makes all lengths equal.
+        self.extra = np.sqrt(self.top - self.norms)
+        #: Pages: (entries, their vectors, distances to the page's routing object, radii or None in a leaf, child pages).
         self.pages: list[tuple] = []
         self.computed = 0
         self.root = self._build(np.arange(len(distinct)), None, page) if len(distinct) else None
 
+    def _page(self, entries: np.ndarray, route: int | None, radii: np.ndarray | None, children: list[int] | None) -> int:
+        to_route = np.zeros(len(entries)) if route is None else self._between(entries, np.array([route]))[:, 0]
+        self.pages.append((entries, self.vectors[entries], to_route, radii, children))
+        return len(self.pages) - 1
+
     def _build(self, rows: np.ndarray, route: int | None, page: int) -> int:
-        to_route = self._between(rows, route)
         if len(rows) <= page:
-            self.pages.append((rows, to_route, None, None))
-            return len(self.pages) - 1
-        # routing objects far from one another; each row goes to the nearest
-        fan = int(min(page, max(2, -(-len(rows) // page))))
-        routes, least = [int(rows[int(to_route.argmax())])], None
-        owner = np.zeros(len(rows), int)
-        for k in range(fan):
-            d = self._between(rows, routes[k])
-            if least is None:
-                least = d
-            else:
-                owner[d < least] = k
-                least = np.minimum(least, d)
-            if k + 1 < fan:
-                routes.append(int(rows[int(least.argmax())]))
+            return self._page(rows, route, None, None)
+        fan = int(min(page, -(-2 * len(rows) // page)))
+        routes = rows[np.linspace(0, len(rows) - 1, fan).astype(int)]
+        far = self._between(rows, routes)
+        owner = far.argmin(axis=1)
+        # routing objects of few rows are given up, so pages stay filled
+        full = np.flatnonzero(np.bincount(owner, minlength=fan) >= page // 4)
+        if not len(full):
+            full = np.arange(fan)
+        owner = full[far[:, full].argmin(axis=1)]
         entries, radii, children = [], [], []
-        for k, r in enumerate(routes):
-            own = rows[owner == k]
-            if not len(own):
-                continue
-            if len(own) == len(rows):  # rows that can't be told apart: cut them anyway
-                halves = np.array_split(own, fan)
-            else:
-                halves = [own]
-            for part in halves:
-                entries.append(r)
-                radii.append(float(self._between(part, r).max()))
-                children.append(self._build(part, r, page))
-        entries = np.array(entries)
-        self.pages.append((entries, self._between(entries, route), np.array(radii), children))
-        return len(self.pages) - 1
-
-    def _between(self, rows: np.ndarray, route: int | None) -> np.ndarray:
-        if route is None:
-            return np.zeros(len(rows))
-        return np.sqrt(((self.points[rows] - self.points[route]) ** 2).sum(axis=1))
+        for k in np.unique(owner):
+            own = np.flatnonzero(owner == k)
+            # rows that no routing object tells apart are cut all the same
+            for part in np.array_split(own, fan) if len(own) == len(rows) else [own]:
+                entries.append(routes[k])
+                radii.append(float(far[part, k].max()))
+                children.append(self._build(rows[part], int(routes[k]), page))
+        return self._page(np.array(entries), route, np.array(radii), children)
+
+    def _between(self, rows: np.ndarray, routes: np.ndarray) -> np.ndarray:
+        """Distances of rows to routing objects; the whole-number part is exact."""
+        plain = self.norms[rows, None] + self.norms[None, routes] - 2 * (self.vectors[rows] @ self.vectors[routes].T)
+        return np.sqrt(plain + (self.extra[rows, None] - self.extra[None, routes]) ** 2)
 
     def search(self, query_id, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), best first, ties to the smaller id, without the query's own id."""
         if self.root is None:
             return []
-        own = int((query**2).sum())
-        level = own + self.top
-        point = np.append(query, 0.0)
+        query = query.astype(float)
+        level = float(query @ query) + self.top
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
         reach = np.inf
         heap: list[tuple[float, int, float | None]] = [(0.0, self.root, None)]
@@ -100,27 +97,31 @@ class Tree:
             bound, at, to_route = heapq.heappop(heap)
             if bound > reach:
                 break
-            entries, stored, radii, children = self.pages[at]
-            if to_route is None:
-                open_ = np.arange(len(entries))
-            else:  # bounds from stored distances alone
-                low = np.abs(stored - to_route) - (radii if radii is not None else 0.0)
-                open_ = np.flatnonzero(low <= reach)
-            if not len(open_):
-                continue
-            rows = entries[open_]
-            self.computed += len(rows)
+            entries, vectors, stored, radii, children = self.pages[at]
+            if to_route is not None and reach < np.inf:  # bounds from stored distances alone
+                low = np.abs(stored - to_route)
+                open_ = np.flatnonzero((low if radii is None else low - radii) <= reach)
+                if not len(open_):
+                    continue
+                if len(open_) < len(entries):
+                    entries, vectors = entries[open_], vectors[open_]
+                else:
+                    open_ = None
+            else:
+                open_ = None
+            self.computed += len(entries)
+            scores = vectors @ query
             if radii is None:
-                scores = self.vectors[rows] @ query
-                least = best[0][0] if len(best) == k else None
-                if least is not None:
-                    hit = scores >= least
-                    rows, scores = rows[hit], scores[hit]
-                for s, r in sorted(zip(scores.tolist(), rows.tolist(), strict=True), reverse=True):
+                # more than k distinct vectors of a page are never among the k best, but for ties
+                least = best[0][0] if len(best) == k else -np.inf
+                if len(scores) > k + 1:
+                    least = max(least, np.partition(scores, -(k + 1))[-(k + 1)])
+                hits = np.flatnonzero(scores >= least)
+                for s, r in sorted(zip(scores[hits].tolist(), entries[hits].tolist(), strict=True), reverse=True):
                     for i in self.ids[r]:
                         if i == query_id:
                             continue
-                        item = (s, -i)
+                        item = (int(s), -i)
                         if len(best) < k:
                             heapq.heappush(best, item)
                         elif item > best[0]:
@@ -128,10 +129,11 @@ class Tree:
                 if len(best) == k:
                     reach = np.sqrt(max(0.0, level - 2 * best[0][0])) * (1 + SLACK) + 1e-6
                 continue
-            d = np.sqrt(((self.points[rows] - point) ** 2).sum(axis=1))
-            low = np.maximum(0.0, d - radii[open_])
-            for n in np.flatnonzero(low <= reach):
-                heapq.heappush(heap, (max(bound, float(low[n])), children[open_[n]], float(d[n])))
+            d = np.sqrt(np.maximum(level - 2 * scores, 0))
+            low = np.maximum(0.0, d - (radii if open_ is None else radii[open_]))
+            for n in np.flatnonzero(low <= reach).tolist():
+                child = children[n if open_ is None else open_[n]]
+                heapq.heappush(heap, (max(bound, float(low[n])), child, float(d[n])))
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
