@@ -25,14 +25,16 @@ from lexweave.shipping import ship
 SAMPLE_DOCS = 12_000
 #: Features that the model keeps at most: those that tell toxic documents best.
 FEATURES = 4096
-#: Standard errors and log-odds from which a feature is kept, and documents it must occur in.
-LEAST_Z, LEAST_ODDS, LEAST_DOCS = 3.0, 1.0, 5
+#: Standard errors and log-odds from which a feature is kept.
+LEAST_Z, LEAST_ODDS = 3.0, 1.0
+#: Share of the sample, and number of its documents, that must have a feature.
+LEAST_SHARE, LEAST_DOCS = 1 / 400, 3
 #: A toxic document's grade is 1 plus how many of these numbers of marking features it exceeds.
 GRADE_STEPS = (2, 4)
 #: Log-odds from which a feature marks toxic text when grades are made from the labels.
 MARK_ODDS = 2.0
-#: Expected severity from which a document is toxic.
-LIMIT = 0.5
+#: Expected severity from which a document is toxic: about one chance in four of grade 1.
+LIMIT = 0.25
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +61,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - x, -60, 60)))
 
 
-def fit(x: list[dict[int, float]], grades: np.ndarray, n_features: int, rounds: int = 400, ridge: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: list[dict[int, float]], grades: np.ndarray, n_features: int, rounds: int = 800, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least penalised loss, by Adam on the whole bounded sample."""
     grades = np.asarray(grades, int)
     levels = max(1, int(grades.max(initial=0)))
@@ -146,7 +148,7 @@ def train(
     odds = F.log(a / c) - float(np.log(bad / (n - bad)))
     z = odds / F.sqrt(1 / a + 1 / c)
     kept = (
-        counts.where((F.col("feature") != "") & (F.col("n") >= LEAST_DOCS))
+        counts.where((F.col("feature") != "") & (F.col("n") >= max(LEAST_DOCS, n * LEAST_SHARE)))
         .select("feature", odds.alias("odds"), z.alias("z"))
         .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
         .orderBy(F.desc("z"), "feature")
