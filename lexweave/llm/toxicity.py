@@ -33,8 +33,8 @@ LEAST_SHARE, LEAST_DOCS = 1 / 400, 3
 GRADE_STEPS = (2, 4)
 #: Log-odds from which a feature marks toxic text when grades are made from the labels.
 MARK_ODDS = 2.0
-#: Expected severity from which a document is toxic: about one chance in four of grade 1.
-LIMIT = 0.25
+#: Expected severity from which a document is toxic.
+LIMIT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
 
