@@ -29,12 +29,13 @@ FEATURES = 4096
 LEAST_Z, LEAST_ODDS = 3.0, 1.0
 #: Share of the sample, and number of its documents, that must have a feature.
 LEAST_SHARE, LEAST_DOCS = 1 / 400, 3
-#: A toxic document's grade is 1 plus how many of these numbers of marking features it exceeds.
-GRADE_STEPS = (2, 4)
-#: Log-odds from which a feature marks toxic text when grades are made from the labels.
-MARK_ODDS = 2.0
+#: A toxic document's grade is 1 plus how many of these sums of evidence it exceeds. The evidence of a word
+#: is the greatest log-odds among its features.
+GRADE_STEPS = (6.0, 12.0)
 #: Expected severity from which a document is toxic.
 LIMIT = 0.5
+#: Letters of the word beginnings that are features, so that inflected and compound words count too.
+BEGINNINGS = range(3, 9)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -43,7 +44,7 @@ def words(text: str | None) -> set[str]:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}-" for n in (4, 5) if len(word) > n)]
+    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
 
 
 @dataclass
@@ -61,7 +62,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - x, -60, 60)))
 
 
-def fit(x: list[dict[int, float]], grades: np.ndarray, n_features: int, rounds: int = 800, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: list[dict[int, float]], grades: np.ndarray, n_features: int, rounds: int = 800, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least penalised loss, by Adam on the whole bounded sample."""
     grades = np.asarray(grades, int)
     levels = max(1, int(grades.max(initial=0)))
@@ -101,9 +102,9 @@ def train(
     """Fits the model on labelled documents.
 
     Bounded: about ``sample_docs`` labelled rows, those with the least id hash. Labels are 0 or 1; grades
-    above 1 come from how many marking features a toxic document has. Null labels and labels without a
+    above 1 come from the evidence that a toxic document's words hold. Null labels and labels without a
     document are left out; without toxic rows nothing is toxic. The driver gets the chosen features and,
-    for each sampled row, its grade and counts of those.
+    for each sampled row, its label, its evidence and its counts of those.
     """
     rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     size = max(1, rated.count())
@@ -156,18 +157,27 @@ def train(
         .collect()
     )
     place_of = {r["feature"]: k for k, r in enumerate(kept)}
-    marks = {k for k, r in enumerate(kept) if r["odds"] >= MARK_ODDS and not r["feature"].endswith("-")}
-    shared = df.sparkSession.sparkContext.broadcast(place_of)
-    schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("f", T.ArrayType(T.IntegerType()))])
+    shared = df.sparkSession.sparkContext.broadcast((place_of, [r["odds"] for r in kept]))
+    schema = T.StructType(
+        [
+            T.StructField("y", T.IntegerType()),
+            T.StructField("evidence", T.DoubleType()),
+            T.StructField("f", T.ArrayType(T.IntegerType())),
+        ]
+    )
 
     def chosen(rows: dict[str, list]) -> dict[str, list]:
-        get = shared.value.get
-        return {"y": rows["_y"], "f": [[k for w in sorted(words(t)) for f in features(w) if (k := get(f)) is not None] for t in rows[text_col]]}
-
-    rows = map_rows(known, schema, chosen).collect()
+        get, strength = shared.value[0].get, shared.value[1]
+        out: dict[str, list] = {"y": rows["_y"], "evidence": [], "f": []}
+        for text in rows[text_col]:
+            by_word = [[k for f in features(w) if (k := get(f)) is not None] for w in sorted(words(text))]
+            out["evidence"].append(float(sum(max(strength[k] for k in ks) for ks in by_word if ks)))
+            out["f"].append([k for ks in by_word for k in ks])
+        return out
+
+    rows = sorted(map_rows(known, schema, chosen).collect())  # sums of doubles depend on the order
     x = [dict(Counter(r["f"])) for r in rows]
-    steps = np.array([sum(d[k] for k in d if k in marks) for d in x], int)
-    grades = np.array([1 + sum(int(s > limit) for limit in GRADE_STEPS) if r["y"] else 0 for r, s in zip(rows, steps, strict=True)])
+    grades = np.array([1 + sum(r["evidence"] > limit for limit in GRADE_STEPS) if r["y"] else 0 for r in rows], int)
     w, thresholds = fit(x, grades, len(kept))
     return Ordinal({r["feature"]: float(v) for r, v in zip(kept, w, strict=True)}, thresholds)
 
