@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ KINDS = ("variable", "scope", "format", "format_end", "icon", "texticon", "newli
 TOKEN_MARK, NUMBER_MARK = "\ue000", "\ue001"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A lambda computes what it takes from outside anew for each element; a lambda's own variable is a lookup.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(v: Column) -> Column:
     """Whether nothing but Unicode white space is left."""
     return v.rlike(r"^\p{IsWhite_Space}*+\z")
@@ -36,9 +46,9 @@ def token_kind(t: Column) -> Column:
 
 def token_counts(v: Column) -> Column:
     """Multiset of tokens as a map (O-25)."""
-    found = tokens(v)
-    return F.map_from_entries(
-        F.transform(F.array_distinct(found), lambda t: F.struct(t, F.size(F.filter(found, lambda x: x == t))))
+    times = lambda found, t: F.struct(t, F.size(F.filter(found, lambda x: x == t)))
+    return bound(
+        tokens(v), lambda found: F.map_from_entries(F.transform(F.array_distinct(found), lambda t: times(found, t)))
     )
 
 
@@ -63,10 +73,15 @@ def show_multiset(rows: Column) -> Column:
 
 def describe_difference(source: Column, translation: Column) -> Column:
     """``lost ..., gained ...``; empty where the token multisets agree (O-39)."""
-    lost = show_multiset(surplus(tokens(source), tokens(translation)))
-    gained = show_multiset(surplus(tokens(translation), tokens(source)))
-    part = lambda word, s: F.when(s != "", F.concat(F.lit(f"{word} "), s))
-    return F.concat_ws(", ", part("lost", lost), part("gained", gained))
+    part = lambda word, s: bound(s, lambda x: F.when(x != "", F.concat(F.lit(f"{word} "), x)))
+
+    def both(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        shown = F.concat_ws(", ", part("lost", show_multiset(surplus(a, b))), part("gained", show_multiset(surplus(b, a))))
+        # most pairs agree in order too
+        return F.when(a == b, "").otherwise(shown)
+
+    return bound(F.struct(tokens(source).alias("a"), tokens(translation).alias("b")), both)
 
 
 def strip_tokens(v: Column) -> Column:
@@ -84,17 +99,15 @@ def skeleton(v: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(v, TOKEN, TOKEN_MARK), "[0-9]+", NUMBER_MARK)
 
 
-def template_of(skel: Column) -> Column:
-    """The numbered template of a skeleton (O-30): tokens and numbers count up on their own."""
-    marks = f"[{TOKEN_MARK}{NUMBER_MARK}]"
-    found = F.regexp_extract_all(skel, F.lit(marks), F.lit(0))
-    between = F.split(skel, marks, -1)
+def _count_up(skel: Column, mark: str, letter: str) -> Column:
+    label = lambda k: F.concat(F.lit(f"⟦{letter}"), k.cast("string"), F.lit("⟧"))
+    parts = F.transform(F.split(skel, mark, -1), lambda text, k: F.when(k == 0, text).otherwise(F.concat(label(k), text)))
+    return F.array_join(parts, "")
 
-    def label(mark: Column, k: Column) -> Column:
-        number = F.size(F.filter(F.slice(found, F.lit(1), k + 1), lambda x: x == mark)).cast("string")
-        return F.concat(F.lit("⟦"), F.when(mark == TOKEN_MARK, "T").otherwise("N"), number, F.lit("⟧"), F.get(between, k + 1))
 
-    return F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(found, label), ""))
+def template_of(skel: Column) -> Column:
+    """The numbered template of a skeleton (O-30): tokens and numbers count up on their own."""
+    return _count_up(_count_up(skel, TOKEN_MARK, "T"), NUMBER_MARK, "N")
 
 
 def numbers(v: Column) -> Column:
@@ -114,20 +127,24 @@ def placeholders(t: Column) -> Column:
 
 def detemplatize(template: Column, toks: Column, nums: Column) -> Column:
     """struct<value, ok>: placeholders filled from the lists; one out of range gives nothing and ok = false (O-31)."""
-    marks = placeholders(template)
-    between = F.split(template, PLACE, -1)
+    pieces = lambda t: F.struct(
+        placeholders(t).alias("marks"), F.split(t, PLACE, -1).alias("between"), toks.alias("toks"), nums.alias("nums")
+    )
 
-    def fill(mark: Column) -> Column:
+    def fill(mark: Column, g: Column) -> Column:
         # longer than any list: a number that doesn't fit into an int
         at = F.coalesce(F.regexp_extract(mark, "[0-9]+", 0).try_cast("int"), F.lit(0)) - 1
-        return F.when(at >= 0, F.when(mark.startswith("⟦T"), F.get(toks, at)).otherwise(F.get(nums, at)))
+        return F.when(at >= 0, F.when(mark.startswith("⟦T"), F.get(g["toks"], at)).otherwise(F.get(g["nums"], at)))
 
-    filled = F.transform(marks, fill)
-    tail = F.transform(filled, lambda x, k: F.concat(F.coalesce(x, F.lit("")), F.get(between, k + 1)))
-    return F.struct(
-        F.concat(F.get(between, F.lit(0)), F.array_join(tail, "")).alias("value"),
-        F.forall(filled, lambda x: x.isNotNull()).alias("ok"),
-    )
+    def whole(filled: Column, g: Column) -> Column:
+        tail = F.transform(filled, lambda x, k: F.concat(F.coalesce(x, F.lit("")), F.get(g["between"], k + 1)))
+        return F.struct(
+            F.concat(F.get(g["between"], F.lit(0)), F.array_join(tail, "")).alias("value"),
+            F.forall(filled, lambda x: x.isNotNull()).alias("ok"),
+        )
+
+    given = bound(template, pieces)
+    return bound(given, lambda g: bound(F.transform(g["marks"], lambda m: fill(m, g)), lambda filled: whole(filled, g)))
 
 
 def namespaced(key: Column) -> Column:
@@ -194,14 +211,14 @@ def in_replace(path: Column) -> Column:
 
 def check_pair(key: Column, source: Column, translation: Column) -> Column:
     """array<struct<rule, message>>: the invariants that a translation breaks (O-84)."""
-    leaked = placeholders(translation)
-    markup = describe_difference(source, translation)
     broken = lambda rule, message: F.struct(F.lit(rule).alias("rule"), message.alias("message"))
+    leak = lambda found: F.when(F.size(found) > 0, broken("leaked-placeholder", F.concat(F.lit("placeholders left: "), F.array_join(found, " "))))
+    differs = lambda d: F.when(d != "", broken("token-mismatch", F.concat(F.lit("markup differs: "), d)))
     return F.array_compact(
         F.array(
-            F.when(F.size(leaked) > 0, broken("leaked-placeholder", F.concat(F.lit("placeholders left: "), F.array_join(leaked, " ")))),
+            bound(placeholders(translation), leak),
             F.when(~blank(source) & blank(translation), broken("empty-translation", F.lit("a text became empty"))),
-            F.when(markup != "", broken("token-mismatch", F.concat(F.lit("markup differs: "), markup))),
+            bound(describe_difference(source, translation), differs),
             F.when(do_not_translate(key, source) & (translation != source), broken("do-not-translate", F.lit("engine data must stay as it is"))),
         )
     )

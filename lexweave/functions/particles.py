@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexweave.functions.markup import bound
+
 # Particles after a final consonant and after a vowel, how a pair is written, how digits are read.
 PAIRS = (("으로", "로"), ("을", "를"), ("은", "는"), ("이", "가"), ("과", "와"))
 CANONICAL = {"으로": "으로(로)", "을": "을(를)", "은": "은(는)", "이": "이(가)", "과": "와(과)"}
@@ -36,9 +38,12 @@ def _settle(before: Column, pair: Column) -> Column:
 def fix_particles(v: Column) -> Column:
     """Collapses particle pairs; what stands before a pair may itself have been settled, so this is a fold."""
     found = F.regexp_extract_all(v, F.lit(PAIR), F.lit(0))
-    between = F.split(v, PAIR, -1)
-    steps = F.transform(found, lambda m, k: F.struct(m.alias("pair"), F.get(between, k + 1).alias("text")))
-    return F.aggregate(steps, F.get(between, F.lit(0)), lambda acc, s: F.concat(acc, _settle(acc, s["pair"]), s["text"]))
+
+    def settled(between: Column) -> Column:
+        steps = F.transform(found, lambda m, k: F.struct(m.alias("pair"), F.get(between, k + 1).alias("text")))
+        return F.aggregate(steps, F.get(between, F.lit(0)), lambda acc, s: F.concat(acc, _settle(acc, s["pair"]), s["text"]))
+
+    return bound(F.split(v, PAIR, -1), settled)
 
 
 polish = fix_particles

@@ -187,25 +187,31 @@ def compare(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     template takes over the first orphan, by catalog position, whose representative key it now holds.
     """
     now = I.groups(entries)
-    units = last_units(catalog)
-    kept = now.join(units.select("template", "korean"), "template")
-    state = F.when((F.col("korean") == "") & (F.col("class") == "prose"), "untranslated").otherwise("unchanged")
-    none = F.lit("")
-    fresh = now.join(units.select("template"), "template", "left_anti")
+    units = last_units(catalog).select("template", "korean")
     orphans = catalog.join(now.select("template"), "template", "left_anti")
     holds = bind(entries).select(F.col("key").alias("rep"), F.col("template").alias("_new"))
-    claims = orphans.join(holds, "rep").join(fresh.select(F.col("template").alias("_new")), "_new", "left_semi")
-    wins = claims.groupBy("_new").agg(F.min(F.struct("pos", "template", "korean")).alias("w")).select("_new", "w.*")
-    changed = fresh.join(wins.select(F.col("_new").alias("template"), F.col("template").alias("previous_template"), F.col("korean").alias("previous_korean")), "template")
-    rows = lambda df, kind, t, k: df.select(kind.alias("kind"), "template", "rep", "class", F.col("members").cast("long").alias("members"), t.alias("previous_template"), k.alias("previous_korean"))
-    new = fresh.join(wins.select(F.col("_new").alias("template")), "template", "left_anti")
-    left = orphans.join(wins.select("pos"), "pos", "left_anti")
-    return (
-        rows(kept, state, none, F.col("korean"))
-        .unionByName(rows(new, F.lit("new"), none, none))
-        .unionByName(rows(changed, F.lit("changed"), F.col("previous_template"), F.col("previous_korean")))
-        .unionByName(rows(left, F.lit("orphaned"), none, F.col("korean")))
+    # every template that holds a key is a current one, so new is what the catalog lacks
+    claims = orphans.join(holds, "rep").join(units.select(F.col("template").alias("_new")), "_new", "left_anti")
+    wins = claims.groupBy("_new").agg(F.min(F.struct("pos", "template", "korean")).alias("w"))
+    taken = wins.select(F.col("_new").alias("template"), "w")
+    rows = now.join(units, "template", "left").join(taken, "template", "left")
+    none, known = F.lit(""), F.col("korean").isNotNull()
+    kind = (
+        F.when(known & (F.col("korean") == "") & (F.col("class") == "prose"), "untranslated")
+        .when(known, "unchanged")
+        .when(F.col("w").isNotNull(), "changed")
+        .otherwise("new")
     )
+    facts = ("template", "rep", "class", F.col("members").cast("long").alias("members"))
+    current = rows.select(
+        kind.alias("kind"),
+        *facts,
+        F.coalesce("w.template", none).alias("previous_template"),
+        F.coalesce("korean", "w.korean", none).alias("previous_korean"),
+    )
+    left = orphans.join(wins.select("w.pos"), "pos", "left_anti")
+    gone = left.select(F.lit("orphaned").alias("kind"), *facts, none.alias("previous_template"), F.col("korean").alias("previous_korean"))
+    return current.unionByName(gone)
 
 
 def work(changes: DataFrame) -> DataFrame:

@@ -22,45 +22,54 @@ def lines(files: DataFrame) -> DataFrame:
     bom = F.coalesce(F.substring(F.col("content"), 1, 3) == F.lit(b"\xef\xbb\xbf"), F.lit(False))
     text = F.coalesce(F.col("content").cast("string"), F.lit(""))
     whole = F.when(bom, F.substr(text, F.lit(2))).otherwise(text)
-    pieces = F.split(whole, "\n", -1)
+    # the content stays behind: each line would carry it through the generator
+    split = files.select("path", bom.alias("had_bom"), F.split(whole, "\n", -1).alias("pieces"))
+    pieces = F.col("pieces")
     kept = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
-    rows = files.select("path", bom.alias("had_bom"), F.posexplode_outer(kept).alias("at", "raw"))
+    split = split.select("path", "had_bom", kept.alias("kept"))
+    rows = split.select("path", "had_bom", F.posexplode_outer("kept").alias("at", "raw"))
     return rows.select("path", "had_bom", (F.coalesce("at", F.lit(-1)) + 1).alias("line"), F.regexp_replace(F.coalesce("raw", F.lit("")), r"\r\z", "").alias("text"))
 
 
 def parsed(numbered: DataFrame) -> DataFrame:
     """Adds a struct ``r`` to lines: kind (skip, header, row, error), language, key, version, value, malformed, error (O-04 to O-09)."""
+
+    def values(body: Column, head: Column, digits: Column) -> Column:
+        t, colon, key = head["t"], head["colon"], head["key"]
+        header = t.rlike(r'^l_[^ \t"]*:\z')
+        fault = (
+            F.when(colon == 0, "no key separator").when(key == "", "empty key").when(~body.startswith('"'), "value is not quoted")
+        )
+        kind = F.when(t == "", "skip").when(header, "header").when(fault.isNotNull(), "error").otherwise("row")
+        # a missing closing quote: the rest of the line is the value
+        mended = M.unquote(F.concat(body, F.lit('"')))
+        return M.bound(
+            M.unquote(body),
+            lambda plain: F.struct(
+                kind.alias("kind"),
+                F.when(header, F.regexp_extract(t, "^l_(.*):$", 1)).alias("language"),
+                key.alias("key"),
+                F.coalesce(digits.try_cast("int"), F.lit(-1)).alias("version"),
+                F.when(plain["ok"], plain["value"]).otherwise(mended["value"]).alias("value"),
+                (~plain["ok"]).alias("malformed"),
+                fault.alias("error"),
+            ),
+        )
+
+    def after(rest: Column, head: Column) -> Column:
+        digits = F.regexp_extract(rest, "^[0-9]*", 0)
+        return M.bound(
+            F.struct(digits.alias("digits"), trim(F.substr(rest, F.length(digits) + 1)).alias("body")),
+            lambda d: values(d["body"], head, d["digits"]),
+        )
+
+    def divided(t: Column) -> Column:
+        colon = F.instr(t, ":")
+        head = F.struct(t.alias("t"), colon.alias("colon"), trim(F.substr(t, F.lit(1), colon - 1)).alias("key"))
+        return M.bound(head, lambda h: M.bound(trim(F.substr(t, h["colon"] + 1)), lambda rest: after(rest, h)))
+
     bare = trim(F.regexp_extract("text", NO_COMMENT, 0))
-    rows = numbered.withColumn("_t", bare)
-    t = F.col("_t")
-    header = t.rlike(r'^l_[^ \t"]*:\z')
-    colon = F.instr(t, ":")
-    key = trim(F.substr(t, F.lit(1), colon - 1))
-    rest = trim(F.substr(t, colon + 1))
-    digits = F.regexp_extract(rest, "^[0-9]*", 0)
-    body = trim(F.substr(rest, F.length(digits) + 1))
-    plain = M.unquote(body)
-    # a missing closing quote: the rest of the line is the value
-    mended = M.unquote(F.concat(body, F.lit('"')))
-    fault = (
-        F.when(colon == 0, "no key separator").when(key == "", "empty key").when(~body.startswith('"'), "value is not quoted")
-    )
-    kind = F.when(t == "", "skip").when(header, "header").when(fault.isNotNull(), "error").otherwise("row")
-    return rows.select(
-        "path",
-        "had_bom",
-        "line",
-        "text",
-        F.struct(
-            kind.alias("kind"),
-            F.when(header, F.regexp_extract(t, "^l_(.*):$", 1)).alias("language"),
-            key.alias("key"),
-            F.coalesce(digits.try_cast("int"), F.lit(-1)).alias("version"),
-            F.when(plain["ok"], plain["value"]).otherwise(mended["value"]).alias("value"),
-            (~plain["ok"]).alias("malformed"),
-            fault.alias("error"),
-        ).alias("r"),
-    )
+    return numbered.select("path", "had_bom", "line", "text", M.bound(bare, divided).alias("r"))
 
 
 def entries(rows: DataFrame) -> DataFrame:
