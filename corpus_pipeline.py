@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import decontamination, language_id, sentencepiece_viterbi, simhash, toxicity
-from lexweave.llm._common import cut, table
+from lexweave.llm._common import cut, dealt, table
 from lexweave.llm.queries import tokenizer
 
 #: Share of a text's n-grams that its language must contain.
@@ -61,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each stage's rows are cut to the shared folder before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

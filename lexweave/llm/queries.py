@@ -19,7 +19,7 @@ from lexweave.llm import (
     token_counts,
     toxicity,
 )
-from lexweave.llm._common import table
+from lexweave.llm._common import dealt, table
 
 
 def tokenizer(name: str) -> str:
@@ -30,16 +30,16 @@ def tokenizer(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 512)
+    return token_counts.count_tokens(dealt(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 512)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(dealt(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(dealt(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = dealt(spark, sf_dir, "documents")
     return language_id.identify(documents, language_id.train(documents))
 
 
@@ -60,16 +60,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = dealt(spark, sf_dir, "documents")
     return toxicity.grade(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_viterbi.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_viterbi.digest(dealt(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.main_texts(table(spark, sf_dir, "pages"))
+    return html_text.main_texts(dealt(spark, sf_dir, "pages"))
 
 
 def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
