@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import map_rows
+from lexweave.llm._common import cut, map_rows
 
 #: Words of a seed and of the shortest tile.
 LEAST_WORDS = 5
@@ -146,7 +146,8 @@ def matches(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, id_col:
 
     Null and empty texts match nothing; items of fewer than ``least`` words have no seed and match
     nothing. The benchmark's size is measured first: up to the block bound it is sent to the tasks
-    whole, a larger one in blocks, each against all documents.
+    whole, a larger one in blocks, each against all documents, whose rows are numbered before: every row
+    gives one row, whatever its id.
     """
     bench = bench.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     n, size = bench.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -155,6 +156,9 @@ def matches(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, id_col:
     match = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(span))])
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("matches", T.ArrayType(match))])
     out = docs.select(id_col, text_col)
+    if blocks > 1:
+        out = cut(out.withColumn("_row", F.monotonically_increasing_id()))
+        schema = T.StructType([*schema, T.StructField("_row", T.LongType())])
 
     def search(block: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in block.orderBy("item_id", "text").collect()], least))
@@ -165,7 +169,7 @@ def matches(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, id_col:
                 [{"item_id": i, "coverage": c, "tiles": [dict(zip(names, t, strict=True)) for t in tiles]} for i, c, tiles in shared.value.search(text)]
                 for text in rows[text_col]
             ]
-            return {id_col: rows[id_col], "matches": found}
+            return rows | {"matches": found}
 
         return map_rows(out, schema, each)
 
@@ -173,7 +177,10 @@ def matches(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, id_col:
         return search(bench)
     parts = [search(bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)) for b in range(blocks)]
     both = reduce(DataFrame.unionByName, parts)
-    return both.groupBy(id_col).agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    merged = both.groupBy("_row", id_col).agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    # as from one block: by item; those of one item are in one block and keep their order
+    by_item = lambda a, b: F.when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).otherwise(0)
+    return merged.select(id_col, F.array_sort("matches", by_item).alias("matches"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE, **columns) -> DataFrame:
