@@ -22,20 +22,23 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id isn't rejected; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _without(numbered: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents whose row isn't rejected, whatever its id."""
+    return numbered.join(rejected.select(ROW), ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose expected severity reaches the operator's limit."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.grade(docs, model).where("toxic"))
+    docs = _numbered(docs)
+    return _without(docs, toxicity.grade(docs, model, id_col=ROW).where("toxic"))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of which no language contains enough n-grams."""
-    found = language_id.identify(docs, language_id.train(docs))
+    model = language_id.train(docs)
+    docs = _numbered(docs)
+    found = language_id.identify(docs, model, id_col=ROW)
     unknown = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)
     return _without(docs, found.where(unknown))
 
@@ -47,7 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that leak a benchmark item."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    docs = _numbered(docs)
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), id_col=ROW)
     return _without(docs, found.where("contaminated"))
 
 

@@ -1,5 +1,6 @@
 """Whole results beyond sizes at which an operator changes its way of working, and for rows without a single id."""
 
+import corpus_pipeline
 from lexweave.llm import decontamination
 from lexweave.llm._common import table
 
@@ -12,3 +13,15 @@ def test_decontamination_gives_each_row_at_any_benchmark_size(spark, monkeypatch
     one = rows()
     monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 2)
     assert rows() == one and len(one) == 12
+
+
+def test_verdicts_meet_rows_and_not_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    leak = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    clean = docs.where("lang = 'en'").orderBy("doc_id").first()
+    rows = [(None, leak, "en", "s", 0), (7, leak, "en", "s", 0), (7, clean.text, "en", "s", 0), (None, clean.text, "en", "s", 0)]
+    got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("7", clean.text), ("None", clean.text)]
+    strange = docs.unionByName(spark.createDataFrame([(None, "123 456", "en", "s", 0), (clean.doc_id, "123 456", "en", "s", 0)], docs.schema))
+    got = corpus_pipeline.keep_known_languages(spark, strange, sf_dir).collect()
+    assert not [r for r in got if r.text == "123 456"] and clean.text in {r.text for r in got}
