@@ -57,7 +57,7 @@ def _slots(codes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 @dataclass
 class Filter:
-    """The filter, its languages, and the false-positive rate of each language's slice."""
+    """The filter (a row of masks for each 64 languages), its languages, and the false-positive rate of each slice."""
 
     languages: list[str]
     masks: np.ndarray
@@ -68,18 +68,20 @@ class Filter:
     @classmethod
     def build(cls, languages: list[str], codes: np.ndarray, masks: np.ndarray, usual: str) -> Filter:
         bits = max(10, int(np.ceil(np.log2(max(1, len(codes)) * SLOTS))))
-        table = np.zeros(1 << bits, np.uint64)
+        masks = masks.reshape(len(codes), max(1, -(-len(languages) // 64)))
+        table = np.zeros((masks.shape[1], 1 << bits), np.uint64)
         for slots in _slots(codes, bits):
-            np.bitwise_or.at(table, slots, masks)
-        fill = np.array([((table >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+            for k, slice_ in enumerate(table):
+                np.bitwise_or.at(slice_, slots, masks[:, k])
+        fill = np.array([((table[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
         return cls(languages, table, fill**HASHES, usual)
 
-    def contains(self, codes: np.ndarray) -> np.ndarray:
-        """The bitmask of languages of each n-gram."""
-        bits = int(np.log2(len(self.masks)))
+    def contains(self, codes: np.ndarray, part: int = 0) -> np.ndarray:
+        """The bitmask of languages of each n-gram, for the 64 languages of one part."""
+        bits = int(np.log2(self.masks.shape[1]))
         out = np.full(len(codes), np.uint64(2**64 - 1))
         for slots in _slots(codes, bits):
-            out &= self.masks[slots]
+            out &= self.masks[part][slots]
         return out
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -87,11 +89,12 @@ class Filter:
             return UNKNOWN, 0.0
         n, hits = 0, np.zeros(len(self.languages))
         for at in range(0, len(text), CHUNK):
-            found = self.contains(grams(text[at : at + CHUNK]))
-            n += len(found)
-            kinds, counts = np.unique(found, return_counts=True)
-            for k in range(len(hits)):
-                hits[k] += counts[(kinds >> np.uint64(k)) & np.uint64(1) == 1].sum()
+            codes = grams(text[at : at + CHUNK])
+            n += len(codes)
+            for part in range(len(self.masks)):
+                kinds, counts = np.unique(self.contains(codes, part), return_counts=True)
+                for k in range(64 * part, min(len(hits), 64 * part + 64)):
+                    hits[k] += counts[(kinds >> np.uint64(k % 64)) & np.uint64(1) == 1].sum()
         true = np.clip((hits - n * self.false) / np.maximum(1 - self.false, 1e-9), 0, n)
         best = int(true.argmax())
         return (self.languages[best], float(true[best] / n)) if true[best] > 0 else (self.usual, 0.0)
@@ -111,11 +114,10 @@ def train(
 ) -> Filter:
     """Learns the filter from rows that aren't held out and have a text and a language.
 
-    Bounded: about ``sample_docs`` documents of each language, those with the least id hash; at most 64
-    languages (those with most documents). The driver gets counts by language and the chosen n-grams.
+    Bounded: about ``sample_docs`` documents of each language, those with the least id hash. The driver gets counts by language and the chosen n-grams.
     """
     known = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()
+    sizes = known.groupBy(lang_col).count().collect()
     counts = {r[0]: r[1] for r in sorted(sizes, key=lambda r: r[0])}
     if not counts:
         return Filter.build([], np.empty(0, np.uint64), np.empty(0, np.uint64), UNKNOWN)
@@ -144,26 +146,26 @@ def train(
     found = sample.mapInArrow(partial, "lang string, code long, n long, docs long")
     docs = {r[0]: r[1] for r in found.groupBy("lang").agg(F.sum("docs")).collect()}
     share = F.coalesce(*(F.when(F.col("lang") == k, F.col("n") / F.lit(float(max(1, docs.get(k) or 1)))) for k in languages))
-    bit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(1 << i if i < 63 else -(1 << 63))) for i, k in enumerate(languages)))
+    place = F.coalesce(*(F.when(F.col("lang") == k, F.lit(i)) for i, k in enumerate(languages)))
     grouped = found.groupBy("lang", "code").agg(F.sum("n").alias("n")).where("n > 0")
-    shares = grouped.select("code", bit.alias("bit"), share.alias("share"))
-    top = shares.groupBy("code").agg(F.max("share").alias("top"), F.collect_list(F.struct("bit", "share")).alias("each"))
+    shares = grouped.select("code", place.alias("place"), share.alias("share"))
+    top = shares.groupBy("code").agg(F.max("share").alias("top"), F.collect_list(F.struct("place", "share")).alias("each"))
     chosen = (
         top.where(F.col("top") >= LEAST_SHARE)
         .select(
             "code",
-            F.aggregate(
-                "each",
-                F.lit(0).cast("long"),
-                lambda acc, x: F.when(
-                    (x["share"] >= LEAST_SHARE) & (x["share"] >= LEAST_RATIO * F.col("top")), acc.bitwiseOR(x["bit"])
-                ).otherwise(acc),
-            ).alias("mask"),
+            F.transform(
+                F.filter("each", lambda x: (x["share"] >= LEAST_SHARE) & (x["share"] >= LEAST_RATIO * F.col("top"))),
+                lambda x: x["place"],
+            ).alias("places"),
         )
         .collect()
     )
     codes = np.array([r[0] for r in chosen], np.int64).view(np.uint64)
-    masks = np.array([r[1] for r in chosen], np.int64).view(np.uint64)
+    masks = np.zeros((len(chosen), -(-len(languages) // 64)), np.uint64)
+    for k, (_, places) in enumerate(chosen):
+        for i in places:
+            masks[k, i // 64] |= np.uint64(1 << i % 64)
     return Filter.build(languages, codes, masks, max(languages, key=lambda k: counts[k]))
 
 

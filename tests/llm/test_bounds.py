@@ -1,7 +1,7 @@
 """Whole results beyond sizes at which an operator changes its way of working, and for rows without a single id."""
 
 import corpus_pipeline
-from lexweave.llm import decontamination
+from lexweave.llm import decontamination, language_id
 from lexweave.llm._common import table
 
 
@@ -15,6 +15,16 @@ def test_decontamination_gives_each_row_at_any_benchmark_size(spark, monkeypatch
     assert rows() == one and len(one) == 12
 
 
+def test_every_language_is_learned(spark):
+    letters = [chr(0x4E00 + k) for k in range(700)]
+    docs = [(150 * k + j, " ".join("".join(letters[7 * k + (j + i) % 7] for i in range(n, n + 4)) for n in range(7)), f"l{k:03}", "s", 0) for k in range(100) for j in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, shard int")
+    model = language_id.train(df)
+    assert model.languages == [f"l{k:03}" for k in range(100)]
+    want = {d[0]: d[2] for d in docs}
+    assert all(r.lang_pred == want[r.doc_id] and r.score > 0.9 for r in language_id.identify(df, model).collect())
+
+
 def test_verdicts_meet_rows_and_not_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     leak = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
