@@ -173,16 +173,23 @@ def blocks(html: str) -> list[Block]:
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Labels the blocks good or bad, in two passes."""
-    articles = any(b.article and not b.outer for b in found)
+    """Labels the blocks good or bad, in two passes; an article decides alone if it holds most running text."""
+    shares = []
+    within = total = 0
     for b in found:
         words = WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        shares.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
+        if not b.outer and len(b.text) >= SHORT and b.linked <= LINKS and shares[-1] >= STOP_LOW:
+            total += len(b.text)
+            within += len(b.text) * b.article
+    articles = any(b.article and not b.outer for b in found) and 2 * within >= total
+    for b, stops in zip(found, shares, strict=True):
+        inside = articles and b.article
         if b.outer or (articles and not b.article):
             b.label = "bad"
-        elif b.linked > (ARTICLE_LINKS if b.article else LINKS):
+        elif b.linked > (ARTICLE_LINKS if inside else LINKS):
             b.label = "bad"
-        elif b.article:
+        elif inside:
             b.label = "good"
         elif len(b.text) < SHORT:
             b.label = "bad" if b.linked else "short"

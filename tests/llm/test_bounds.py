@@ -1,7 +1,7 @@
 """Whole results beyond sizes at which an operator changes its way of working, and for rows without a single id."""
 
 import corpus_pipeline
-from lexweave.llm import decontamination, language_id
+from lexweave.llm import decontamination, html_text, language_id
 from lexweave.llm._common import table
 
 
@@ -35,3 +35,9 @@ def test_verdicts_meet_rows_and_not_ids(spark, sf_dir):
     strange = docs.unionByName(spark.createDataFrame([(None, "123 456", "en", "s", 0), (clean.doc_id, "123 456", "en", "s", 0)], docs.schema))
     got = corpus_pipeline.keep_known_languages(spark, strange, sf_dir).collect()
     assert not [r for r in got if r.text == "123 456"] and clean.text in {r.text for r in got}
+
+
+def test_a_teaser_article_does_not_hide_the_text_around_it():
+    running = "This is the text of the page and it is about what was said to the people who were there, and of all that they did in the town on that day with their friends."
+    page = f"<div><p>{running} One.</p><p>{running} Two.</p><p>{running} Three.</p></div><article><a href=x>Read on</a></article>"
+    assert html_text.extract(page).split("\n") == [f"{running} {n}." for n in ("One", "Two", "Three")]
