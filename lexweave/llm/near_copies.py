@@ -28,6 +28,8 @@ LEAST = Fraction(4, 5)
 #: Texts whose shingles are counted for the order, and the count from which one is frequent. Any order gives the same result.
 SAMPLE_DOCS, FREQUENT = 20_000, 4
 SEED = 42
+#: Longs of a set's parity bits.
+PARITY = 8
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -68,20 +70,41 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, key, before)], names=["token", "key", "before"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """Of candidate pairs (u, v), those whose whole sets are similar."""
-    a = sets.select(F.col("key").alias("u"), F.col("set").alias("a"))
-    b = sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
-    common, both = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    near = common * (least.numerator + least.denominator) >= both * least.numerator
-    return pairs.join(a, "u").join(b, "v").where(near).select("u", "v")
+def parity(found: np.ndarray) -> np.ndarray:
+    """512 bits, each whether an odd number of shingles falls on it: sets that differ in n shingles differ in at most n bits."""
+    odd = np.bincount(found & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _similar(pairs: DataFrame, marks: DataFrame, docs: DataFrame, least: Fraction) -> DataFrame:
+    """Of candidate pairs (u, v), those whose whole sets are similar.
+
+    ``marks`` (key, row, size, parity): pairs that differ in more bits than similar sets can in shingles
+    are left out, and only the texts of the others are read again.
+    """
+    a, b = least.numerator, least.denominator
+    for k in "uv":
+        pairs = pairs.join(marks.select(F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("row", "size", "parity"))), k)
+    bits = sum((F.bit_count(F.col("u_parity")[k].bitwiseXOR(F.col("v_parity")[k])) for k in range(PARITY)), F.lit(0))
+    may = bits * (a + b) <= (F.col("u_size") + F.col("v_size")) * (b - a)
+    pairs = cut(pairs.where(may).select("u", "v", "u_row", "v_row"))
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.col("u_row").alias("row")), F.struct(F.col("v").alias("key"), F.col("v_row").alias("row")))).alias("x"))
+    texts = docs.join(wanted.select("x.*").distinct(), "row").select("key", "text")
+
+    def whole(rows: dict[str, list]) -> dict[str, list]:
+        return {"key": rows["key"], "set": [shingles(t) for t in rows["text"]]}
+
+    sets = cut(map_rows(texts, T.StructType([T.StructField("key", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))]), whole))
+    left, right = (sets.select(F.col("key").alias(k), F.col("set").alias(f"{k}_set")) for k in "uv")
+    common, both = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
+    return pairs.join(left, "u").join(right, "v").where(common * (a + b) >= both * a).select("u", "v")
 
 
 def classes(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", text_col: str = "text") -> DataFrame:
     """(row, class): texts linked by similarity, directly or over others, share a class. ``row_col`` numbers the rows.
 
     Exact but for equal 64-bit hashes. Texts of equal shingles meet in one key before any comparison;
-    null texts and those without words are equal. ``df`` is read three times: cut it before.
+    null texts and those without words are equal. ``df`` is read several times: cut it before.
     """
     ship(df.sparkSession)
     docs = df.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
@@ -99,32 +122,27 @@ def classes(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", text_c
     def each(rows: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t) for t in rows["text"]]
         keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return {"row": rows["row"], "key": keys, "size": [len(s) for s in sets], "prefix": [prefix(s, *order.value, least) for s in sets]}
+        return {"row": rows["row"], "key": keys, "size": [len(s) for s in sets], "parity": [parity(s) for s in sets], "prefix": [prefix(s, *order.value, least) for s in sets]}
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("row", long), T.StructField("key", long), T.StructField("size", T.IntegerType()), T.StructField("prefix", longs)])
+    schema = T.StructType([T.StructField("row", long), T.StructField("key", long), T.StructField("size", T.IntegerType()), T.StructField("parity", longs), T.StructField("prefix", longs)])
     rows = cut(map_rows(docs, schema, each))
     nodes = rows.groupBy("key").agg(F.first("prefix").alias("prefix"))
     wide = nodes.select(F.explode("prefix").alias("token"), "key").repartition("token").sortWithinPartitions("token", "key")
     met = cut(wide.mapInArrow(_met, "token long, key long, before long"))
 
-    def whole(rows: dict[str, list]) -> dict[str, list]:
-        return {"key": rows["key"], "set": [shingles(t) for t in rows["text"]]}
-
-    firsts = rows.groupBy("key").agg(F.min("row").alias("row"), F.first("size").alias("size")).join(met.select("key").distinct(), "key")
-    firsts = cut(firsts)
-    sets = cut(map_rows(docs.join(firsts, "row").select("key", "text"), T.StructType([T.StructField("key", long), T.StructField("set", longs)]), whole))
-
+    firsts = rows.groupBy("key").agg(F.min("row").alias("row")).join(met.select("key").distinct(), "key").select("row")
+    marks = cut(rows.select("key", "row", "size", "parity").join(firsts, "row"))
     chained = met.where("key <> before").select(F.col("before").alias("u"), F.col("key").alias("v")).distinct()
-    edges = cut(_similar(chained, sets, least))
-    joined = met.select("token", "key").join(firsts.select("key", "size"), "key").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
+    edges = cut(_similar(chained, marks, docs, least))
+    joined = met.select("token", "key").join(marks.select("key", "size"), "key").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
     joined = cut(joined.withColumn("component", F.coalesce("component", "key")))
     open_ = joined.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
     joined = joined.join(open_, "token")
     u, v = (joined.select("token", F.col("key").alias(k), F.col("size").alias(f"{k}_size"), F.col("component").alias(f"{k}_component")) for k in "uv")
     fits = F.least("u_size", "v_size") * least.denominator >= F.greatest("u_size", "v_size") * least.numerator
     pairs = u.join(v, "token").where((F.col("u") < F.col("v")) & (F.col("u_component") != F.col("v_component")) & fits)
-    more = _similar(pairs.select("u", "v").distinct().join(chained, ["u", "v"], "left_anti"), sets, least)
+    more = _similar(pairs.select("u", "v").distinct().join(chained, ["u", "v"], "left_anti"), marks, docs, least)
     found = components(edges.unionByName(more)).select(F.col("node").alias("key"), F.col("component").alias("class"))
     return rows.select("row", "key").join(found, "key", "left").select(F.col("row").alias(row_col), F.coalesce("class", "key").alias("class"))
 
