@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,20 +33,62 @@ def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns it with a short lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one is made only where none is set, as in
-    tests that run in one JVM.
+    Where it is unset, one is chosen in local mode alone, as in tests: a cluster's machines share no
+    temporary folder, so there it must be set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and returns it with a short lineage."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it again; the files go when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/lexweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds a struct ``name`` (file, at) that tells rows apart and is the same at every read.
+
+    Rows of files are known by a hash of the file's path and their place in it, so nothing is written;
+    other rows are numbered and written down.
+    """
+    try:
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        return cut(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))))
+
+
+class _Columns(dict):
+    """A record batch's columns as lists, each made when it is asked for."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        super().__init__()
+        self.batch = batch
+
+    def __missing__(self, name: str) -> list:
+        got = self[name] = self.batch.column(name).to_pylist()
+        return got
+
+
 def map_rows(
     df: DataFrame,
     schema: T.StructType,
@@ -53,10 +97,10 @@ def map_rows(
 ) -> DataFrame:
     """Applies ``each`` to column lists of at most ``rows`` rows; what it returns has ``schema``.
 
-    Narrow and stateless: no shuffle, and a lost task is simply run again.
+    Columns of ``schema`` that ``each`` doesn't return are carried over as they are. Narrow and
+    stateless: no shuffle, and a lost task is simply run again.
     """
     ship(df.sparkSession)
-    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,9 +109,10 @@ def map_rows(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                got = each({n: part.column(k).to_pylist() for k, n in enumerate(names)})
+                got = each(_Columns(part))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(got[f.name], type=f.type) for f in out], schema=out
+                    [pa.array(got[f.name], type=f.type) if f.name in got else part.column(f.name) for f in out],
+                    names=out.names,
                 )
 
     return df.mapInArrow(run, schema)

@@ -169,7 +169,7 @@ def matches(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, id_col:
                 [{"item_id": i, "coverage": c, "tiles": [dict(zip(names, t, strict=True)) for t in tiles]} for i, c, tiles in shared.value.search(text)]
                 for text in rows[text_col]
             ]
-            return rows | {"matches": found}
+            return {"matches": found}
 
         return map_rows(out, schema, each)
 

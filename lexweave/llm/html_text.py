@@ -241,6 +241,6 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         texts = [extract(h) for h in rows[html_col]]
-        return {id_col: rows[id_col], url_col: rows[url_col], "text": texts, "n_chars": [len(t) for t in texts]}
+        return {"text": texts, "n_chars": [len(t) for t in texts]}
 
     return map_rows(df.select(id_col, url_col, html_col), schema, each)

@@ -40,9 +40,13 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(text: str) -> np.ndarray:
-    """64-bit codes of the letter trigrams of a lower-case text; word edges count as blanks."""
-    c = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def padded(text: str) -> str:
+    return f" {text} ".lower()
+
+
+def grams(low: str) -> np.ndarray:
+    """64-bit codes of the trigrams around the letters of a padded text but its two ends; word edges count as blanks."""
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[c]
     c = np.where(letter, c, 32).astype(np.uint64)
     codes = c[:-2] * ODD[0] ^ (c[1:-1] * ODD[1] + (c[2:] * ODD[2]))
@@ -87,9 +91,9 @@ class Filter:
     def decide(self, text: str | None) -> tuple[str, float]:
         if not text or not any(map(str.isalpha, text)) or not self.languages:
             return UNKNOWN, 0.0
-        n, hits = 0, np.zeros(len(self.languages))
-        for at in range(0, len(text), CHUNK):
-            codes = grams(text[at : at + CHUNK])
+        n, hits, low = 0, np.zeros(len(self.languages)), padded(text)
+        for at in range(0, len(low) - 2, CHUNK):
+            codes = grams(low[at : at + CHUNK + 2])  # chunks share two characters, so each trigram is in one
             n += len(codes)
             for part in range(len(self.masks)):
                 kinds, counts = np.unique(self.contains(codes, part), return_counts=True)
@@ -132,7 +136,7 @@ def train(
                 part = batch.slice(at, 512)
                 by: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    by.setdefault(lang, []).append(np.unique(grams(text)))
+                    by.setdefault(lang, []).append(np.unique(grams(padded(text))))
                 for lang, each in by.items():
                     codes, n = np.unique(np.concatenate(each), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
@@ -169,17 +173,17 @@ def train(
     return Filter.build(languages, codes, masks, max(languages, key=lambda k: counts[k]))
 
 
-def identify(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row, from the whole text alone.
+def predict(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of every row, from the whole text alone, however long.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Equal counts go
     to the language first in alphabetical order. score is the share of n-grams that the language contains.
+    Repeated rows give repeated results.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(
         [
             T.StructField(id_col, df.schema[id_col].dataType),
-            T.StructField("held_out", T.BooleanType()),
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
         ]
@@ -187,6 +191,11 @@ def identify(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         got = [shared.value.decide(t) for t in rows[text_col]]
-        return {id_col: rows[id_col], "held_out": rows["_held"], "lang_pred": [a for a, _ in got], "score": [b for _, b in got]}
+        return {"lang_pred": [a for a, _ in got], "score": [b for _, b in got]}
 
-    return map_rows(df.select(id_col, text_col, held_out(id_col).alias("_held")), schema, each)
+    return map_rows(df.select(id_col, text_col), schema, each)
+
+
+def identify(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, lang_pred, score) of every row: ``predict``, and whether training left the row out."""
+    return predict(df, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")

@@ -1,9 +1,11 @@
-"""Near copies by word shingles: an exact join of all texts with a Jaccard similarity from ``LEAST``.
-
-Each text is the set of its five-word shingles. In one order of all shingles (rare ones first), two texts
-as similar as that share one of the first shingles of each (its prefix), so candidates meet there, and
-their whole sets are compared. Neighbours in each meeting place are compared first; then only pairs that
-aren't joined already, so a large group of near copies doesn't give all its pairs.
+"""SimHash near-duplicates from a Jaccard similarity on: pivot distance tables at a wide radius.
+
+Each text has a SimHash of its set of five-word shingles and that fingerprint's distances to the pivots.
+Texts meet where they can be similar: in one order of all shingles (rare ones first), two sets as similar
+as ``least`` share one of the first shingles of each (its prefix). Of the pairs that meet, the pivot table
+discards what the triangle inequality rules out, the fingerprints' bits what is farther than ``RADIUS``,
+and the whole sets of the survivors decide. Neighbours in each meeting place are compared first, then only
+pairs that aren't joined already, so a large group of near copies doesn't give all its pairs.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.llm import simhash
 from lexweave.llm._common import cut, map_rows
 from lexweave.llm.simhash import components
 from lexweave.shipping import ship
@@ -25,11 +28,16 @@ from lexweave.shipping import ship
 SHINGLE_WORDS = 5
 #: Similarity from which two texts are near copies.
 LEAST = Fraction(4, 5)
-#: Texts whose shingles are counted for the order, and the count from which one is frequent. Any order gives the same result.
-SAMPLE_DOCS, FREQUENT = 20_000, 4
+#: Bits in which near copies differ at most: sets at 0.8 differ in 10 of 64 bits on average, 12 if short, so
+#: this is four standard deviations and more above.
+RADIUS = 24
+#: Texts whose shingles are counted for the order. Any order gives the same result.
+SAMPLE_DOCS = 20_000
+#: Count in the sample from which a shingle is frequent, and texts that one task chains at a frequent one, about.
+FREQUENT, CHAIN_ROWS = 4, 100_000
 SEED = 42
-#: Longs of a set's parity bits.
-PARITY = 8
+#: Bits of the map that tells which texts to read again; a full map only reads more of them.
+MAP_BITS = 25
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -42,18 +50,19 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(words[k : k + size]), SEED) for k in range(n)), np.uint64, n).view(np.int64))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: Fraction = LEAST) -> np.ndarray:
-    """The first shingles of a set: any set with a similarity from ``least`` has one of its own first ones here."""
-    need = -(-least.numerator * len(found) // least.denominator)
+def order_of(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: Fraction = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """A set's prefix and each shingle's count: any set with a similarity from ``least`` has one of its own first ones here."""
+    room = len(found) - -(-least.numerator * len(found) // least.denominator) + 1
     if not len(found) or not len(frequent):
-        return found[: len(found) - need + 1] if len(found) else found
+        return found[:room], np.zeros(len(found[:room]), np.int64)
     at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
     count = np.where(frequent[at] == found, counts[at], 0)
-    return found[np.lexsort((found, count))][: len(found) - need + 1]
+    first = np.lexsort((found, count))[:room]
+    return found[first], count[first]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, key), those whose token is no other text's are left out; ``next`` is the key before."""
+    """Of rows sorted by (token, key), those whose token is no other text's are left out; ``before`` is the key before."""
     last = None  # token, key, whether its row has been given out
     for batch in batches:
         if not batch.num_rows:
@@ -70,46 +79,93 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, key, before)], names=["token", "key", "before"])
 
 
-def parity(found: np.ndarray) -> np.ndarray:
-    """512 bits, each whether an odd number of shingles falls on it: sets that differ in n shingles differ in at most n bits."""
-    odd = np.bincount(found & (64 * PARITY - 1), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (token, part, key) with the key before in the same part, or their own."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, key, part = (batch.column(k).to_numpy() for k in range(3))
+        before = np.roll(key, 1)
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+        new[0] = last is None or last[:2] != (token[0], part[0])
+        if last is not None:
+            before[0] = last[2]
+        last = (token[-1], part[-1], key[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(np.where(new, key, before))], names=["token", "key", "before"])
+
+
+def near(u: Column, v: Column, radius: int = RADIUS) -> Column:
+    """Whether two marks (size, fp, dist) may be near: first by the pivot table, then by the bits themselves."""
+    byte = lambda m, k: F.shiftrightunsigned(m["dist"], 8 * k).bitwiseAND(F.lit(255))
+    apart = F.greatest(*(F.abs(byte(u, k) - byte(v, k)) for k in range(simhash.PIVOTS)))
+    return F.when(apart > radius, False).otherwise(F.bit_count(u["fp"].bitwiseXOR(v["fp"])) <= radius)
 
 
-def _similar(pairs: DataFrame, marks: DataFrame, docs: DataFrame, least: Fraction) -> DataFrame:
-    """Of candidate pairs (u, v), those whose whole sets are similar.
+def _fits(u: Column, v: Column, least: Fraction) -> Column:
+    """Whether two sets' sizes allow the similarity."""
+    return F.least(u["size"], v["size"]) * least.denominator >= F.greatest(u["size"], v["size"]) * least.numerator
 
-    ``marks`` (key, row, size, parity): pairs that differ in more bits than similar sets can in shingles
-    are left out, and only the texts of the others are read again.
+
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, set) of the texts in ``wanted`` (key, row), written down.
+
+    A bitmap of bounded size tells most other texts apart before their shingles are made; the join that
+    follows is exact.
     """
-    a, b = least.numerator, least.denominator
-    for k in "uv":
-        pairs = pairs.join(marks.select(F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("row", "size", "parity"))), k)
-    bits = sum((F.bit_count(F.col("u_parity")[k].bitwiseXOR(F.col("v_parity")[k])) for k in range(PARITY)), F.lit(0))
-    may = bits * (a + b) <= (F.col("u_size") + F.col("v_size")) * (b - a)
-    pairs = cut(pairs.where(may).select("u", "v", "u_row", "v_row"))
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.col("u_row").alias("row")), F.struct(F.col("v").alias("key"), F.col("v_row").alias("row")))).alias("x"))
-    texts = docs.join(wanted.select("x.*").distinct(), "row").select("key", "text")
+    bit = F.xxhash64("row.file", "row.at").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    one = F.expr("shiftleft(1L, int(bit & 63))")
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    found = np.array([tuple(r) for r in words.collect()], np.int64).reshape(-1, 2)
+    flags = np.zeros(1 << MAP_BITS - 6, np.int64)
+    flags[found[:, 0]] = found[:, 1]
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
+    names = ["row", "set"]
+    row = docs.schema["row"].dataType
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(1).to_numpy()
+            mask = (shared.value[bits >> 6] >> (bits & 63)) & 1 == 1
+            some = batch.filter(pa.array(mask))
+            for at in range(0, some.num_rows, 256):
+                part = some.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t) for t in part.column(2).to_pylist()], pa.list_(pa.int64()))], names=names)
+
+    schema = T.StructType([T.StructField("row", row), T.StructField("set", T.ArrayType(T.LongType()))])
+    sets = docs.select("row", bit.alias("bit"), "text").mapInArrow(each, schema)
+    return cut(wanted.join(sets, "row").select("key", "set"))
 
-    def whole(rows: dict[str, list]) -> dict[str, list]:
-        return {"key": rows["key"], "set": [shingles(t) for t in rows["text"]]}
 
-    sets = cut(map_rows(texts, T.StructType([T.StructField("key", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))]), whole))
+def _similar(pairs: DataFrame, marks: DataFrame, docs: DataFrame, least: Fraction) -> DataFrame:
+    """Of candidate pairs (u, v) of keys, those whose whole sets are similar. ``marks``: (key, row, size, fp, dist)."""
+    a, b = least.numerator, least.denominator
+    facts = F.struct("size", "fp", "dist", "row")
+    for k in "uv":
+        pairs = pairs.join(marks.select(F.col("key").alias(k), facts.alias(f"{k}_mark")), k)
+    u, v = F.col("u_mark"), F.col("v_mark")
+    pairs = cut(pairs.where(_fits(u, v, least) & near(u, v)).select("u", "v", "u_mark.row", F.col("v_mark.row").alias("v_row")))
+    both = F.array(F.struct(F.col("u").alias("key"), F.col("row")), F.struct(F.col("v").alias("key"), F.col("v_row").alias("row")))
+    sets = _sets(pairs.select(F.explode(both).alias("x")).select("x.*").distinct(), docs)
     left, right = (sets.select(F.col("key").alias(k), F.col("set").alias(f"{k}_set")) for k in "uv")
-    common, both = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
-    return pairs.join(left, "u").join(right, "v").where(common * (a + b) >= both * a).select("u", "v")
+    common, total = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
+    return pairs.select("u", "v").join(left, "u").join(right, "v").where(common * (a + b) >= total * a).select("u", "v")
 
 
-def classes(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", text_col: str = "text") -> DataFrame:
-    """(row, class): texts linked by similarity, directly or over others, share a class. ``row_col`` numbers the rows.
+def classes(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, class) of every row: texts linked by similarity, directly or over others, share a class.
 
-    Exact but for equal 64-bit hashes. Texts of equal shingles meet in one key before any comparison;
-    null texts and those without words are equal. ``df`` is read several times: cut it before.
+    ``row_col`` tells the rows apart (``numbered``). Texts of equal shingles meet in one key before any
+    comparison; null texts and those without words are equal. A link is missed only where hashes of 64 bits
+    are equal by chance, or fingerprints of similar sets differ in more than ``RADIUS`` bits.
     """
-    ship(df.sparkSession)
-    docs = df.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
-    share = SAMPLE_DOCS / max(1, docs.count())
-    place = F.shiftrightunsigned(F.xxhash64("row"), 11).cast("double") / float(1 << 53)
+    spark = df.sparkSession
+    ship(spark)
+    docs = df.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = max(1, docs.count())
+    share = SAMPLE_DOCS / total
+    place = F.shiftrightunsigned(F.xxhash64("row.file", "row.at"), 11).cast("double") / float(1 << 53)
 
     def sample(rows: dict[str, list]) -> dict[str, list]:
         return {"token": np.concatenate([np.empty(0, np.int64), *(shingles(t) for t in rows["text"])])}
@@ -117,40 +173,58 @@ def classes(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", text_c
     tokens = map_rows(docs.where(place <= share).select("text"), T.StructType([T.StructField("token", T.LongType())]), sample)
     often = sorted(tuple(r) for r in tokens.groupBy("token").count().where(F.col("count") >= FREQUENT).collect())
     table = np.array(often, np.int64).reshape(-1, 2)
-    order = df.sparkSession.sparkContext.broadcast((table[:, 0].copy(), table[:, 1].copy()))
+    order = spark.sparkContext.broadcast((table[:, 0].copy(), table[:, 1].copy()))
+    scale = max(1.0, 1 / share) / CHAIN_ROWS
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t) for t in rows["text"]]
         keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return {"row": rows["row"], "key": keys, "size": [len(s) for s in sets], "parity": [parity(s) for s in sets], "prefix": [prefix(s, *order.value, least) for s in sets]}
+        fps = np.array([simhash.majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)
+        out: dict[str, list] = {"key": keys, "size": [len(s) for s in sets], "fp": fps, "prefix": [], "hot": []}
+        for s in sets:
+            first, counts = order_of(s, *order.value, least)
+            parts = np.ceil(counts * scale).astype(int)
+            out["prefix"].append(first[parts <= 1])
+            out["hot"].append([{"token": t, "parts": p} for t, p in zip(first[parts > 1].tolist(), parts[parts > 1].tolist(), strict=True)])
+        return out
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("row", long), T.StructField("key", long), T.StructField("size", T.IntegerType()), T.StructField("parity", longs), T.StructField("prefix", longs)])
+    hot = T.ArrayType(T.StructType([T.StructField("token", long), T.StructField("parts", T.IntegerType())]))
+    schema = T.StructType([*(docs.schema[c] for c in ("row", "id")), T.StructField("key", long), T.StructField("size", T.IntegerType()), T.StructField("fp", long), T.StructField("prefix", longs), T.StructField("hot", hot)])
     rows = cut(map_rows(docs, schema, each))
-    nodes = rows.groupBy("key").agg(F.first("prefix").alias("prefix"))
+    nodes = rows.groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("hot").alias("hot"))
     wide = nodes.select(F.explode("prefix").alias("token"), "key").repartition("token").sortWithinPartitions("token", "key")
-    met = cut(wide.mapInArrow(_met, "token long, key long, before long"))
-
-    firsts = rows.groupBy("key").agg(F.min("row").alias("row")).join(met.select("key").distinct(), "key").select("row")
-    marks = cut(rows.select("key", "row", "size", "parity").join(firsts, "row"))
+    met = wide.mapInArrow(_met, "token long, key long, before long")
+    # a shingle of very many texts is chained in parts, and its parts meet in the comparison of what isn't joined
+    common = nodes.select(F.explode("hot").alias("h"), "key").select("h.token", "key", F.pmod(F.xxhash64("key"), F.col("h.parts")).alias("part"))
+    parts = common.repartition("token", "part").sortWithinPartitions("token", "part", "key").mapInArrow(_chained, "token long, key long, before long")
+    met = cut(met.unionByName(parts))
+
+    firsts = rows.groupBy("key", "size", "fp").agg(F.min("row").alias("row")).join(met.select("key").distinct(), "key")
+    marks = cut(firsts.select("key", "row", "size", "fp", simhash.distances(F.col("fp")).alias("dist")))
     chained = met.where("key <> before").select(F.col("before").alias("u"), F.col("key").alias("v")).distinct()
     edges = cut(_similar(chained, marks, docs, least))
-    joined = met.select("token", "key").join(marks.select("key", "size"), "key").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
-    joined = cut(joined.withColumn("component", F.coalesce("component", "key")))
-    open_ = joined.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    joined = joined.join(open_, "token")
-    u, v = (joined.select("token", F.col("key").alias(k), F.col("size").alias(f"{k}_size"), F.col("component").alias(f"{k}_component")) for k in "uv")
-    fits = F.least("u_size", "v_size") * least.denominator >= F.greatest("u_size", "v_size") * least.numerator
-    pairs = u.join(v, "token").where((F.col("u") < F.col("v")) & (F.col("u_component") != F.col("v_component")) & fits)
-    more = _similar(pairs.select("u", "v").distinct().join(chained, ["u", "v"], "left_anti"), marks, docs, least)
+    joined = met.select("token", "key").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
+    joined = joined.withColumn("component", F.coalesce("component", "key"))
+    # where texts of several components meet, those outside the largest one are compared with all
+    sizes = joined.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components")).where("components > 1").select("token", "largest")
+    joined = cut(joined.join(open_, "token").join(marks.select("key", "size", "fp", simhash.distances(F.col("fp")).alias("dist")), "key"))
+    mark = F.struct("key", "component", "size", "fp", "dist")
+    outside = joined.where("component <> largest").select("token", "largest", mark.alias("u"))
+    u, v = F.col("u"), F.col("v")
+    once = (v["component"] == F.col("largest")) | (u["key"] < v["key"])
+    pairs = outside.join(joined.select("token", mark.alias("v")), "token").where((u["component"] != v["component"]) & once & _fits(u, v, least) & near(u, v))
+    pairs = pairs.select(F.least("u.key", "v.key").alias("u"), F.greatest("u.key", "v.key").alias("v")).distinct()
+    more = _similar(pairs.join(chained, ["u", "v"], "left_anti"), marks, docs, least)
     found = components(edges.unionByName(more)).select(F.col("node").alias("key"), F.col("component").alias("class"))
-    return rows.select("row", "key").join(found, "key", "left").select(F.col("row").alias(row_col), F.coalesce("class", "key").alias("class"))
+    return rows.select("row", "id", "key").join(found, "key", "left").select("row", "id", F.coalesce("class", "key").alias("class"))
 
 
 def dedup(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of near copies, with all columns: that of the smallest id; nulls come last, equal ids by row."""
-    known = classes(df, least, row_col, text_col)
-    ids = df.select(row_col, F.col(id_col).alias("_id"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col(row_col).alias("at")))
-    kept = known.join(ids, row_col).groupBy("class").agg(first.alias("first")).select(F.col("first.at").alias(row_col))
-    return df.join(kept, row_col, "left_semi")
+    known = cut(classes(df, least, row_col, id_col, text_col))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row").alias("at")))
+    kept = known.groupBy("class").agg(first.alias("first")).select(F.col("first.at").alias("row"))
+    gone = known.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row_col))
+    return df.join(gone, row_col, "left_anti").select(*df.columns)

@@ -149,7 +149,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         c = codec(path)
-        return {id_col: rows[id_col], "pieces": [np.frombuffer(c.encode_bytes(t or ""), np.int32) for t in rows[text_col]]}
+        return {"pieces": [np.frombuffer(c.encode_bytes(t or ""), np.int32) for t in rows[text_col]]}
 
     return map_rows(df.select(id_col, text_col), schema, each, rows=64)
 
@@ -161,7 +161,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", pieces_col: str = "
     def each(rows: dict[str, list]) -> dict[str, list]:
         c = codec(path)
         n = len(c.pieces)
-        return {id_col: rows[id_col], "text": [c.decode([i for i in p or [] if i is not None and 0 <= i < n]) for p in rows[pieces_col]]}
+        return {"text": [c.decode([i for i in p or [] if i is not None and 0 <= i < n]) for p in rows[pieces_col]]}
 
     return map_rows(df.select(id_col, pieces_col), schema, each, rows=64)
 
@@ -187,7 +187,6 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         ids = [c.encode_bytes(t) for t in texts]
         back = [c.decode(np.frombuffer(b, np.int32).tolist()) for b in ids]
         return {
-            id_col: rows[id_col],
             "n_pieces": [len(b) // 4 for b in ids],
             "pieces_xxh64": [xxhash.xxh64_hexdigest(b) for b in ids],
             "restored": [a == t for a, t in zip(back, texts, strict=True)],

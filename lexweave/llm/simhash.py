@@ -39,6 +39,15 @@ def pivots() -> list[int]:
     return [xxhash.xxh64_intdigest(str(k), 7) for k in range(PIVOTS)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    for k in range(0, n, 1 << 16):
+        part = hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None) -> int:
     """Majority bits of the XXH64 of a text's 4-word shingles; 0 where there is no word."""
     words = (text or "").encode().lower().split()
@@ -52,12 +61,7 @@ def fingerprint(text: str | None) -> int:
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     stops = ends[min(SHINGLE_WORDS, len(words)) - 1 :]
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        part = hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +70,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         fps = np.array([fingerprint(t) for t in rows[text_col]], np.uint64)
-        return {id_col: rows[id_col], "fp": fps.view(np.int64)}
+        return {"fp": fps.view(np.int64)}
 
     return map_rows(df.select(id_col, text_col), schema, each)
 
@@ -84,7 +88,7 @@ def _bands(fp: F.Column) -> F.Column:
     return F.array(*keys)
 
 
-def _distances(fp: F.Column) -> F.Column:
+def distances(fp: F.Column) -> F.Column:
     """The pivot table's row of a fingerprint: one byte for each distance."""
     out = F.lit(0).cast("long")
     for k, p in enumerate(pivots()):
@@ -207,7 +211,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS)
             (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("block"),
             "node",
             "fp",
-            _distances(F.col("fp")).alias("dist"),
+            distances(F.col("fp")).alias("dist"),
         )
     )
     ship(nodes.sparkSession)

@@ -186,7 +186,6 @@ def count_tokens(
         texts = [t or "" for t in rows[text_col]]
         counts = [c.count(t) for t in texts]
         return {
-            id_col: rows[id_col],
             "n_bytes": [len(t.encode()) for t in texts],
             "n_tokens": counts,
             "over_limit": [n > limit for n in counts],
@@ -206,6 +205,6 @@ def prefix_tables(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     )
 
     def each(rows: dict[str, list]) -> dict[str, list]:
-        return {id_col: rows[id_col], "prefix_tokens": [counter(path).prefixes(t or "") for t in rows[text_col]]}
+        return {"prefix_tokens": [counter(path).prefixes(t or "") for t in rows[text_col]]}
 
     return map_rows(df.select(id_col, text_col), schema, each, rows=32)

@@ -206,6 +206,6 @@ def grade(df: DataFrame, model: Ordinal, limit: float = LIMIT, id_col: str = "do
         above = [m.chances(s) for s in scores]
         severity = [float(p.sum()) for p in above]
         likely = [int(np.argmax(np.append(1.0, p) - np.append(p, 0.0))) for p in above]
-        return {id_col: rows[id_col], "toxic": [s >= limit for s in severity], "grade": likely, "severity": severity}
+        return {"toxic": [s >= limit for s in severity], "grade": likely, "severity": severity}
 
     return map_rows(df.select(id_col, text_col), schema, each)

@@ -1,10 +1,14 @@
 """The pipeline against its operators' rules, and its behaviour on odd rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from lexweave.llm import decontamination, language_id, sentencepiece_viterbi, simhash, toxicity
+from lexweave.llm import decontamination, language_id, sentencepiece_viterbi, toxicity
 from lexweave.llm._common import table
 from lexweave.llm.queries import tokenizer
 
+from test_near_copies import kept
+
 
 def test_each_stage_works_on_what_is_left(spark, sf_dir):
     docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
@@ -16,16 +20,7 @@ def test_each_stage_works_on_what_is_left(spark, sf_dir):
     left = [i for i in left if not bad(docs[i])]
     languages = language_id.train(frame(left))
     left = [i for i in left if languages.decide(docs[i])[0] != "und" and languages.decide(docs[i])[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
-    prints = {i: simhash.fingerprint(docs[i]) for i in left}
-    owner = {i: i for i in left}
-    changed = True
-    while changed:
-        changed = False
-        for i in left:
-            for j in left:
-                if owner[j] < owner[i] and (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS:
-                    owner[i], changed = owner[j], True
-    left = [i for i in left if owner[i] == i]
+    left = sorted(kept({i: docs[i] for i in left}))
     items = decontamination.Items([tuple(r) for r in bench.select("item_id", "text").collect()])
     left = [i for i in left if not any(c >= decontamination.COVERAGE for _, c, _ in items.search(docs[i]))]
     codec = sentencepiece_viterbi.codec(tokenizer("piece_bpe_32k.model"))
@@ -36,8 +31,10 @@ def test_each_stage_works_on_what_is_left(spark, sf_dir):
 
 def test_stages_keep_the_columns_and_take_odd_rows(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the one of them", None, "s", 3)], schema)
-    for docs in (odd, odd.limit(0)):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the one of them", None, "s", 3), (4, "the one of them", None, "s", 3), (4, "the one of them", None, "s", 3)]
+    odd = spark.createDataFrame(rows, schema)
+    clash = odd.withColumns({c: F.lit("clash") for c in ("row", "key", "toxic", "severity", "lang_pred", "matches", "contaminated", "class", "id")})
+    for docs in (odd, odd.limit(0), clash):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, sf_dir)
             assert out.columns == docs.columns
