@@ -1,8 +1,12 @@
 """Near copies against brute force over all pairs."""
 
+import collections
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
+from lexweave.llm import near_copies
 from lexweave.llm._common import table
 
 
@@ -46,3 +50,20 @@ def test_edited_copies_chains_and_common_passages(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], table(spark, sf_dir, "documents").schema)
     got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
     assert got == kept(texts)
+
+
+def test_chains_over_batches_of_any_size():
+    r = random.Random(1)
+    for alone in (False, True):
+        for _ in range(100):
+            rows, batches = sorted((r.randint(0, 6), r.randint(0, 1), r.randint(0, 9)) for _ in range(r.randint(0, 40))), []
+            at = 0
+            while at < len(rows):
+                part = rows[at : at + r.randint(1, 7)]
+                at += len(part)
+                batches.append(pa.RecordBatch.from_arrays([pa.array([x[k] for x in part]) for k in range(3)], names=["token", "part", "key"]))
+            places = collections.defaultdict(list)
+            for token, part, key in sorted(set(rows)):
+                places[token, part].append(key)
+            want = [(t, k, v[max(0, i - near_copies.CHAINED) : i]) for (t, _), v in places.items() for i, k in enumerate(v) if len(v) > 1 or alone]
+            assert [tuple(x.values()) for out in near_copies._chained(iter(batches), alone) for x in out.to_pylist()] == want
