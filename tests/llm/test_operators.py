@@ -431,19 +431,37 @@ def test_top_k_equals_brute_force_with_ties_and_copies(spark):
     bad = [(800, None), (850, [1.0, None, 1.0, 1.0]), (900, [math.inf] * 4), (950, [math.nan] * 4), (None, [0.0] * 4)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows] + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     vectors = mtree.quantised(df)
-    got = mtree.top_k(vectors, vectors.where("id % 50 = 0"), 5, tree_rows=150, query_rows=5)
     want = brute_top([(i, np.floor(v.astype(np.float32).astype(float) * 256).astype(int)) for i, v in rows])
-    assert sorted(map(tuple, got.collect())) == want
+    for size in (10, 150, 32_768):
+        assert sorted(map(tuple, mtree.top_k(vectors, vectors.where("id % 50 = 0"), 5, tree_rows=size).collect())) == want
     assert mtree.top_k(vectors.limit(0), vectors.limit(0), 5).count() == 0
     few = vectors.where("id < 3")
     assert sorted(map(tuple, mtree.top_k(few, few.where("id = 0"), 5).select("query_id", "rank").collect())) == [(0, 1), (0, 2)]
 
 
+def test_top_k_of_large_ragged_and_repeated_vectors(spark):
+    rng = np.random.default_rng(11)
+    wide = [(i, rng.normal(size=3) * 10.0 ** rng.integers(-2, 9)) for i in range(120)]
+    other = [(i, rng.normal(size=2 + i % 2)) for i in range(200, 260)] + [(300, np.array([3e5, 1.0])), (350, np.empty(0)), (400, np.array([1e200, -1e200, 1e200]))]
+    rows = [*wide, *other, wide[7], wide[100]]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    exact = [(i, [math.floor(x * 256) for x in v]) for i, v in rows]
+    want = []
+    for q, v in dict(exact[:-2]).items():
+        if q % 50 == 0:
+            scored = sorted((-mtree.clamped(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in exact if i != q and len(w) == len(v))[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    vectors = mtree.quantised(df)
+    for size in (20, 32_768):
+        assert sorted(map(tuple, mtree.top_k(vectors, vectors.where("id % 50 = 0"), 5, tree_rows=size).collect())) == sorted(want)
+
+
 def test_tree_avoids_distance_computations():
     rng = np.random.default_rng(10)
     centres = rng.integers(-2000, 2000, (40, 8))
     vectors = np.concatenate([c + rng.integers(-20, 20, (200, 8)) for c in centres])
     tree = mtree.Tree(np.arange(len(vectors)), vectors, 6)
-    for q in range(0, 400, 40):
-        assert [s for s, _ in tree.search(q, vectors[q], 5)] == sorted((vectors @ vectors[q])[np.arange(len(vectors)) != q].tolist(), reverse=True)[:5]
+    asked = list(range(0, 400, 40))
+    for q, found in zip(asked, tree.search(asked, vectors[asked].astype(float), 5), strict=True):
+        assert [s for s, _ in found] == sorted((vectors @ vectors[q])[np.arange(len(vectors)) != q].tolist(), reverse=True)[:5]
     assert tree.computed < 0.3 * 10 * len(vectors)
