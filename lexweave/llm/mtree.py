@@ -109,11 +109,12 @@ class Tree:
         level, exact = lengths + self.top, max(float(lengths.max()), self.top) < EXACT
         slack = SLACK * np.sqrt(level) + 1e-6
         reach = np.sqrt(np.maximum(level - 2 * floor, 0)) + slack
-        # (least bound, number, page, queries, their bounds, their distances to the page's routing object)
-        heap: list[tuple] = [(0.0, 0, self.root, np.arange(m), np.zeros(m), None)]
+        # (whether it is the queries' nearest page, least bound, number, page, queries, their bounds, their
+        # distances to the page's routing object): each query's nearest pages open before all others
+        heap: list[tuple] = [(False, 0.0, 0, self.root, np.arange(m), np.zeros(m), None)]
         pushed = 1
         while heap:
-            _, _, at, asked, bounds, to_route = heapq.heappop(heap)
+            _, _, _, at, asked, bounds, to_route = heapq.heappop(heap)
             open_ = ~(bounds > reach[asked])  # what is too large to be compared stays open
             asked, bounds = asked[open_], bounds[open_]
             if not len(asked):
@@ -136,11 +137,14 @@ class Tree:
                 continue
             d = np.sqrt(np.maximum(level[asked, None] - 2 * scores, 0))
             low = np.maximum(bounds[:, None], d - radii[None, columns] - slack[asked, None])
+            nearest = np.where(may, d, np.inf).argmin(axis=1)
+            may &= ~(low > reach[asked, None])
             for n in range(len(columns)):
-                wanted = np.flatnonzero(may[:, n] & ~(low[:, n] > reach[asked]))
-                if len(wanted):
-                    heapq.heappush(heap, (float(low[wanted, n].min()), pushed, children[columns[n]], asked[wanted], low[wanted, n], d[wanted, n]))
-                    pushed += 1
+                for later in (False, True):
+                    wanted = np.flatnonzero(may[:, n] & ((nearest != n) == later))
+                    if len(wanted):
+                        heapq.heappush(heap, (later, float(low[wanted, n].min()), pushed, children[columns[n]], asked[wanted], low[wanted, n], d[wanted, n]))
+                        pushed += 1
         return [[(s, -i) for s, i in sorted(b, reverse=True)] for b in best]
 
     def _take(self, best, query_ids, queries, asked, entries, scores, may, k, floor, exact) -> None:
