@@ -1,7 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass classifies each block by stop-word density, length and link density, and by the region it
-stands in. The second gives ambiguous and short blocks the label of their nearest decided neighbours.
+The first pass classifies each block by stop-word density, length and link density; what a page itself marks
+as menu, notice, form and the like is no main text, unless it holds most of the running text. The second
+pass gives blocks that the first left open the label of their nearest decided neighbours, where standing
+in the article, or outside it, counts as a neighbour's word.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page; it is skipped unread up to the end tag.
-RAW_TAGS = frozenset("script style noscript template iframe object svg math textarea select title noembed noframes".split())
+RAW_TAGS = frozenset("script style noscript template iframe object svg textarea select title noembed noframes".split())
 #: Elements that are boilerplate wherever they stand.
 OUTER_TAGS = frozenset("nav footer aside form menu dialog button search head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,14 +50,20 @@ OUTER_WORDS = frozenset(
     search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar
     tracking widget complementary""".split()
 )
+#: Words that may stand beside those in one name, as in ``sidebar-left``; any other makes the name another thing's.
+PLAIN_WORDS = frozenset(
+    """area bar block bottom box center column container content div first footer global group header inner item items
+    last left link links list main outer page panel post reader right row section site slot sub text top unit user
+    view wrap wrapper zone""".split()
+)
 #: Share of stop words from which a block is running text, or may be.
 STOP_HIGH, STOP_LOW = 0.30, 0.15
 #: Characters up to which a block is short, and from which running text is decided.
 SHORT, LONG = 70, 140
 #: Share of characters in links from which a block is boilerplate.
 LINKS = 0.35
-#: The same inside an article, where only lists of links are boilerplate.
-ARTICLE_LINKS = 0.8
+#: Share of a page's running text from which an element holds most of it.
+MOST = 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -75,12 +83,28 @@ class Block:
     text: str
     #: Share of its characters that stand in links.
     linked: float
-    #: In a region that is boilerplate; in the article; a heading.
-    outer: bool
+    #: Numbers of the elements around it that are marked as boilerplate (by their tag: below 0); in the article.
+    marks: tuple[int, ...]
     article: bool
-    heading: bool
+    #: The element it stands in.
+    tag: str
+    #: Share of stop words among its words.
+    stops: float = 0.0
     label: str = ""
 
+    def __post_init__(self):
+        words = WORD.findall(self.text.lower())
+        self.stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _names_boilerplate(value: str) -> bool:
+    """Whether one of the names in an attribute is a boilerplate word, alone or beside plain ones."""
+    for name in value.split():
+        words = [w.lower() for w in NAME.findall(name) if not w.isdigit()]
+        if not OUTER_WORDS.isdisjoint(words) and all(w in OUTER_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+    return False
+
 
 def _marks(attributes: str) -> tuple[bool, bool]:
     """Whether attributes mark boilerplate, and whether they mark the article."""
@@ -91,28 +115,26 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             outer = True
         elif name == "itemprop" or name == "role":
             article |= value.lower() in ("articlebody", "main", "article")
-        words = [w.lower() for w in NAME.findall(value)]
-        outer |= not OUTER_WORDS.isdisjoint(words)
+        outer |= _names_boilerplate(value)
     return outer, article
 
 
 def blocks(html: str) -> list[Block]:
-    """The page's text blocks in order. Unclosed elements end where an element around them ends."""
+    """The page's text blocks in order. Unclosed elements end where an element around them ends, links where a block does."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, tuple[int, ...], bool]] = []  # tag, marked elements around, in the article
     parts: list[str] = []
-    linked = in_link = breaks = 0
-    heading = False
+    linked = breaks = marked_so_far = 0
+    in_link = False
 
     def flush() -> None:
-        nonlocal linked, heading, breaks
+        nonlocal linked, breaks
         text = SPACES.sub(" ", unescape("".join(parts))).strip()
         if text:
-            _, outer, article = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, min(1.0, linked / len(text)), outer, article, heading))
+            tag, marks, article = next((x for x in reversed(stack) if x[0] in BLOCK_TAGS), ("", (), False))
+            out.append(Block(text, min(1.0, linked / len(text)), marks, article, tag))
         parts.clear()
         linked = breaks = 0
-        heading = False
 
     at = 0
     while (m := TOKEN.match(html, at)) is not None:
@@ -142,8 +164,9 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
+            in_link = False
         if tag == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing
         if tag in VOID_TAGS:
             continue
         if closing:
@@ -154,17 +177,17 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        _, outer, article = stack[-1] if stack else ("", False, False)
+        _, marks, article = stack[-1] if stack else ("", (), False)
         marked, main = _marks(attributes) if attributes else (False, False)
-        if tag in ("article", "main") and not marked and not (outer and article):
-            outer, article = False, True  # an article ends a menu or header that was left open
-        elif main and not outer:
+        if tag in ("article", "main") or main:
+            if not article:
+                marks = ()  # an article ends a menu or header that was left open
             article = True
-        elif tag in OUTER_TAGS or tag == "header" and not article or marked and tag not in ("html", "body"):
-            outer = True
-        stack.append((tag, outer, article))
-        if tag in HEADINGS:
-            heading = True
+        firm = tag in OUTER_TAGS and tag != "form" or tag == "header" and not article
+        if firm or (marked or tag == "form") and tag not in ("html", "body"):
+            marked_so_far += 1
+            marks = (*marks, -marked_so_far if firm else marked_so_far)
+        stack.append((tag, marks, article))
         if not attributes.endswith("/") or tag in BLOCK_TAGS:
             continue
         stack.pop()
@@ -172,54 +195,65 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def by_text(b: Block) -> str:
+    """The first pass, from the block alone: good, bad, or open as near (running text, perhaps) or short."""
+    if b.linked > LINKS:
+        return "bad"
+    if len(b.text) < SHORT:
+        return "bad" if b.linked else "short"
+    if b.stops >= STOP_HIGH and len(b.text) >= LONG:
+        return "good"
+    return "near" if b.stops >= STOP_LOW else "sparse"
+
+
 def classify(found: list[Block]) -> list[Block]:
-    """Labels the blocks good or bad, in two passes; an article decides alone if it holds most running text."""
-    shares = []
-    within = total = 0
+    """Labels the blocks good or bad, in two passes.
+
+    An element that a class or a form marks is no boilerplate if it holds most of the page's running text,
+    and more text than an article without marks. Where neighbours differ and are as near, the one in the same kind of element
+    counts, a heading goes with what follows, and else running text is good, other text bad.
+    """
     for b in found:
-        words = WORD.findall(b.text.lower())
-        shares.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
-        if not b.outer and len(b.text) >= SHORT and b.linked <= LINKS and shares[-1] >= STOP_LOW:
-            total += len(b.text)
-            within += len(b.text) * b.article
-    articles = any(b.article and not b.outer for b in found) and 2 * within >= total
-    for b, stops in zip(found, shares, strict=True):
-        inside = articles and b.article
-        if b.outer or (articles and not b.article):
-            b.label = "bad"
-        elif b.linked > (ARTICLE_LINKS if inside else LINKS):
+        b.label = by_text(b)
+    held: dict[int, int] = {}
+    for b in found:
+        if b.label in ("good", "near"):
+            for mark in b.marks:
+                held[mark] = held.get(mark, 0) + len(b.text)
+    least = max(MOST * sum(len(b.text) for b in found if b.label in ("good", "near")), sum(len(b.text) for b in found if b.article and not b.marks and b.label != "bad"))
+    pardoned = {mark for mark, n in held.items() if mark > 0 and n > least and n >= LONG}
+    outer = [not pardoned.issuperset(b.marks) for b in found]
+    running = [b for b, out in zip(found, outer, strict=True) if not out and b.label in ("good", "near")]
+    # an article that holds most of the running text has a say on what the first pass left open, and on what stands outside
+    speaks = 2 * sum(len(b.text) for b in running if b.article) >= sum(len(b.text) for b in running) and any(b.article for b in found)
+    for b, out in zip(found, outer, strict=True):
+        if out or speaks and not b.article:
             b.label = "bad"
-        elif inside:
+        elif speaks and b.label != "bad":
             b.label = "good"
-        elif len(b.text) < SHORT:
-            b.label = "bad" if b.linked else "short"
-        elif stops >= STOP_HIGH:
-            b.label = "good" if len(b.text) >= LONG else "near"
-        else:
-            b.label = "near" if stops >= STOP_LOW else "bad"
-    decided = [k for k, b in enumerate(found) if b.label in ("good", "bad")]
-    for wanted in ("near", "short"):
+    for wanted in (("near",), ("short", "sparse")):
+        # running text doesn't take after menus and notices, which the page itself tells apart from it
+        decided = [k for k, b in enumerate(found) if b.label in ("good", "bad") and not (outer[k] and wanted == ("near",))]
         labels: dict[int, str] = {}
         for k, b in enumerate(found):
-            if b.label != wanted:
+            if b.label not in wanted:
                 continue
             at = bisect_left(decided, k)
-            before = decided[at - 1] if at else None
-            after = decided[at] if at < len(decided) else None
-            near = [(abs(d - k), found[d].label != "good", found[d].label) for d in (before, after) if d is not None]
-            if not near:
-                labels[k] = "good" if wanted == "near" else "bad"
-            elif len({n[2] for n in near}) == 1:
-                labels[k] = near[0][2]
-            elif b.heading and after is not None:
-                labels[k] = found[after].label
-            elif near[0][0] == near[1][0]:
-                labels[k] = "good" if wanted == "near" else "bad"
+            sides = [decided[x] for x in (at - 1, at) if 0 <= x < len(decided)]
+            near = {found[d].label for d in sides}
+            if len(near) == 1:
+                labels[k] = near.pop()
+            elif not near:
+                labels[k] = "good" if b.label == "near" else "bad"
+            elif b.tag in HEADINGS:
+                labels[k] = found[sides[1]].label
+            elif k - sides[0] != sides[1] - k:
+                labels[k] = found[min(sides, key=lambda d: abs(d - k))].label
             else:
-                labels[k] = min(near)[2]
+                alike = [d for d in sides if found[d].tag == b.tag]
+                labels[k] = found[alike[0]].label if len(alike) == 1 else "good" if b.label == "near" else "bad"
         for k, label in labels.items():
             found[k].label = label
-        decided = sorted({*decided, *labels})
     return found
 
 

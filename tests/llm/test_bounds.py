@@ -37,6 +37,41 @@ def test_verdicts_meet_rows_and_not_ids(spark, sf_dir):
     assert not [r for r in got if r.text == "123 456"] and clean.text in {r.text for r in got}
 
 
+RUNNING = "This is the text of the page and it is about what was said to the people who were there, and of all that they did in the town on that day with their friends."
+
+
+def test_no_class_word_drops_what_holds_most_of_the_text():
+    for mark in ("class='post has-sidebar comments-open'", "id=legal-history", "class=comments", "class='promo'"):
+        for tag in ("article", "div"):
+            assert html_text.extract(f"<nav>x</nav><{tag} {mark}><p>{RUNNING} A.</p><p>{RUNNING} B.</p></{tag}><footer>{RUNNING}</footer>") == f"{RUNNING} A.\n{RUNNING} B."
+    page = f"<form><div><p>{RUNNING} A.</p></div></form><div class='user-comments'>{RUNNING}</div><p>{RUNNING} B.</p><p>{RUNNING} C.</p>"
+    assert html_text.extract(page) == f"{RUNNING} B.\n{RUNNING} C."
+
+
+def test_open_links_and_formulas():
+    assert html_text.extract(f"<p>{RUNNING} <a href=x>more<p>{RUNNING} B.</p><p>{RUNNING} C.</p>") == f"{RUNNING} more\n{RUNNING} B.\n{RUNNING} C."
+    assert html_text.extract(f"<article><p>{RUNNING} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> so.</p></article>") == f"{RUNNING} x=2 so."
+
+
+def test_ties_of_neighbours_go_to_the_same_kind_of_element():
+    links = "<ul><li><a href=x>one thing</a></li></ul>"
+    assert html_text.extract(f"<p>{RUNNING}</p><p>Short.</p>{links}") == f"{RUNNING}\nShort."
+    assert html_text.extract(f"<p>{RUNNING}</p><div>Short.</div>{links}") == RUNNING
+    assert html_text.extract(f"{links}<h2>A title</h2><p>{RUNNING}</p>") == f"A title\n{RUNNING}"
+
+
+def test_text_rules_alone_find_most_blocks_of_pages_without_marks(spark):
+    import collections
+    import re
+
+    tp = given = wanted = 0
+    for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        full = collections.Counter(html_text.extract(r.html).split("\n"))
+        bare = collections.Counter(html_text.extract(re.sub(r"</?(article|main)[^>]*>", "", re.sub(r"\sclass=\"[^\"]*\"", "", r.html))).split("\n"))
+        tp, given, wanted = tp + (full & bare).total(), given + bare.total(), wanted + full.total()
+    assert 2 * tp / (given + wanted) >= 0.95
+
+
 def test_a_teaser_article_does_not_hide_the_text_around_it():
     running = "This is the text of the page and it is about what was said to the people who were there, and of all that they did in the town on that day with their friends."
     page = f"<div><p>{running} One.</p><p>{running} Two.</p><p>{running} Three.</p></div><article><a href=x>Read on</a></article>"
