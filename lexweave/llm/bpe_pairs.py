@@ -27,16 +27,25 @@ def merge_loop(symbols: Sequence, rank: Callable) -> list:
 
 
 class Bounded(dict):
-    """A memo of ``make`` that forgets everything once it holds ``most`` answers."""
+    """A memo of ``make`` for texts, which forgets everything once keys and answers take ``most`` bytes, about.
 
-    def __init__(self, make: Callable, most: int):
+    Texts longer than ``longest`` are answered anew each time, so one of them never fills it.
+    """
+
+    def __init__(self, make: Callable, most: int = 64 << 20, longest: int = 256):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest, self.held = make, most, longest, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        got = self.make(key)
+        if len(key) > self.longest:
+            return got
+        # four bytes a character at most, and what Python adds to two objects and an entry
+        self.held += 4 * len(key) + (len(got) if isinstance(got, bytes) else 0) + 250
+        if self.held > self.most:
             self.clear()
-        got = self[key] = self.make(key)
+            self.held = 0
+        self[key] = got
         return got
 
 

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-A path is a sequence of pieces; BPE's merge order admits exactly those paths in which every two
-neighbours keep apart, so admissible paths have weight 0 and all others are cut. The search holds the
-positions of a window no longer than the longest piece, and commits pieces as soon as all paths that are
-still alive run through one boundary. Output ids equal those of the sentencepiece library.
+A path is a sequence of pieces and has the sum of their weights. A unigram model gives each piece its
+score. BPE's merge order admits exactly those paths in which every two neighbours keep apart, so there
+admissible paths have weight 0 and all others are cut. The search keeps the best path to each position of
+a window no longer than the longest piece, and commits ids as soon as all paths that are still alive run
+through one boundary. Output ids equal those of the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import xxhash
@@ -23,29 +25,86 @@ from lexweave.llm.bpe_pairs import Bounded, Neighbours, merge_loop, split, trie
 BLANK = "▁"
 
 
+#: Model types as a .model file numbers them; no number stands for the first.
+UNIGRAM, BPE = 1, 2
+#: How far an unknown character's score lies below that of the worst piece.
+UNKNOWN_PENALTY = 10.0
+
+
+def _fields(data: bytes):
+    """(number, value) of a serialised message's fields: integers, or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def model_type(data: bytes) -> int:
+    """The type that a model's trainer settings name."""
+    trainer = next((v for n, v in _fields(data) if n == 2), b"")
+    return next((v for n, v in _fields(trainer) if n == 3), UNIGRAM)
+
+
 class PieceCodec:
-    """Encodes and decodes with a BPE .model that has byte fallback and no text normalisation."""
+    """Encodes and decodes with a BPE or unigram .model that has byte fallback and no text normalisation.
 
-    def __init__(self, path: str, most: int = 400_000):
+    Models of other types are refused. Ids of words are remembered in ``most`` bytes, about; words over
+    256 characters aren't remembered.
+    """
+
+    def __init__(self, path: str, most: int = 128 << 20):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            kind = model_type(f.read())
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.pieces = [model.id_to_piece(i) for i in range(n)]
-        self.ids = {self.pieces[i]: i for i in plain}
-        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
-        self.unknown = model.unk_id()
-        order = {p: -model.get_score(i) for p, i in self.ids.items()}
-        rank = lambda a, b: order.get(a + b)
-        made = {}
-        for p in self.ids:
-            if len(p) > 1:
-                last: list = []
-                if len(merge_loop(split(p), lambda a, b: rank(a, b) if a + b != p else last.append((a, b)))) == 2 and last:
-                    made[p] = (order[p], *last[-1])
-        self.neighbours = Neighbours(made, rank)
-        usable = [p for p in self.ids if len(p) == 1 or (p in made and self.neighbours.whole(p))]
+        self.bytes = {int(p[3:5], 16): i for i in range(n) if model.is_byte(i) and (p := model.id_to_piece(i))}
+        if kind not in (UNIGRAM, BPE) or not self.bytes:
+            raise ValueError("only BPE and unigram models with byte fallback are encoded")
+        self._learn([model.id_to_piece(i) for i in range(n)], {model.id_to_piece(i): (i, model.get_score(i)) for i in plain}, model.unk_id(), kind, most)
+
+    def _learn(self, pieces: list[str], plain: dict[str, tuple[int, float]], unknown: int, kind: int, most: int) -> None:
+        """``plain``: piece -> (id, score) of the pieces that texts are made of."""
+        self.pieces, self.unknown = pieces, unknown
+        self.ids = {p: i for p, (i, _) in plain.items()}
+        #: after[a][b]: whether b may follow a; None where all may. weight[b]: what b adds to a path; None where nothing does.
+        self.after = self.weight = None
+        if kind == BPE:
+            order = {p: -score for p, (_, score) in plain.items()}
+            rank = lambda a, b: order.get(a + b)
+            made = {}
+            for p in self.ids:
+                if len(p) > 1:
+                    last: list = []
+                    if len(merge_loop(split(p), lambda a, b: rank(a, b) if a + b != p else last.append((a, b)))) == 2 and last:
+                        made[p] = (order[p], *last[-1])
+            neighbours = Neighbours(made, rank)
+            self.after = neighbours.after
+            usable = [p for p in self.ids if len(p) == 1 or (p in made and neighbours.whole(p))]
+        else:
+            usable = [*self.ids]
+            self.weight = {p: score for p, (_, score) in plain.items()}
+            self.unknown_weight = min(self.weight.values()) - UNKNOWN_PENALTY
         self.trie, self.longest = trie(usable), max(map(len, usable))
         #: No piece holds a blank behind another character, so a boundary before a run of blanks is final.
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in usable)
@@ -62,8 +121,9 @@ class PieceCodec:
 
     def stream(self, text: str):
         """Yields the ids of a text whose blanks are marked, holding one window of it."""
-        root, after, widest = self.trie, self.neighbours.after, self.longest
-        ends: dict[int, str] = {}  # boundary -> the one piece that ends an admissible path there
+        root, after, weight, widest = self.trie, self.after, self.weight, self.longest
+        ends: dict[int, str] = {}  # boundary -> the last piece of the best path there
+        total: dict[int, float] = {0: 0.0}  # boundary -> that path's weight, where paths have any
         done, size = 0, len(text)
         for start in range(size):
             left = ends.get(start)
@@ -71,17 +131,28 @@ class PieceCodec:
                 continue
             if start - done > widest and start % widest == 0:  # paths may have met: commit what they share
                 done = yield from self._commit(ends, done, start, min(size, start + widest))
-            fits = after[left] if left is not None else None
-            if text[start] not in root and start + 1 not in ends:
-                ends[start + 1] = text[start]
+                if weight is not None:
+                    for p in [p for p in total if p < start]:
+                        del total[p]
+            fits = after[left] if left is not None and after is not None else None
+            if text[start] not in root or weight is not None and None not in root[text[start]]:
+                if weight is None:
+                    ends.setdefault(start + 1, text[start])
+                elif total[start] + self.unknown_weight > total.get(start + 1, -inf):
+                    ends[start + 1], total[start + 1] = text[start], total[start] + self.unknown_weight
             node = root
             for end in range(start, min(size, start + widest)):
                 node = node.get(text[end])
                 if node is None:
                     break
                 piece = node.get(None)
-                if piece is not None and end + 1 not in ends and (fits is None or fits[piece]):
-                    ends[end + 1] = piece
+                if piece is None:
+                    continue
+                if weight is None:
+                    if end + 1 not in ends and (fits is None or fits[piece]):
+                        ends[end + 1] = piece
+                elif total[start] + weight[piece] > total.get(end + 1, -inf):
+                    ends[end + 1], total[end + 1] = piece, total[start] + weight[piece]
         if size:
             yield from self._path(ends, done, size)
 

@@ -36,12 +36,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PrefixCounter:
-    """Counts tokens of texts and of their prefixes.
+    """Counts tokens of texts and of their prefixes, in time linear in the text.
 
-    Word counts are remembered for at most ``most`` words, so memory stays bounded on any input.
+    Counts of words are remembered in ``most`` bytes, about; words over 256 characters aren't remembered.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 128 << 20):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -55,6 +55,7 @@ class PrefixCounter:
         rank = lambda a, b, get=ranks.get: get((a, b))
         self.neighbours = Neighbours({a + b: (k, a, b) for k, (a, b) in reversed([*enumerate(pairs)])}, rank)
         self.trie = trie({bytes([b]) for b in range(256)} | {*filter(self.neighbours.whole, self.neighbours.made)})
+        self.longest = max(map(len, self.neighbours.made), default=1)
         self.fast = re.compile(PATTERN.format(L=LATIN, N=DIGITS, S=SPACE))
         self.any = regex.compile(PATTERN.format(L=r"\p{L}", N=r"\p{N}", S=SPACE))
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -117,27 +118,29 @@ class PrefixCounter:
         before = [0, *accumulate(map(self._count, pieces))]
         starts = [0, *accumulate(map(len, pieces))]
         out = [0]
-        for k, piece in enumerate(pieces):
-            out += self._inside(text, pieces, before, starts, k, range(1, len(piece) + 1))
+        for k in range(len(pieces)):
+            out += self._inside(text, pieces, before, starts, k)
         return out
 
-    def _inside(self, text, pieces, before, starts, k, cuts) -> list[int]:
-        """Counts of the prefixes that end ``cuts`` characters into piece k."""
-        piece, got = pieces[k], []
-        plain = not piece[0].isspace() and piece[0] != "'" and piece not in self.special
-        if plain or (piece[0] == " " and len(piece) > 1 and not piece[1].isspace()):
-            counts = self.table(piece.encode())
-            at = [0, *accumulate(len(c.encode()) for c in piece)]
-        else:
-            counts = None
-        tail = self._tail(pieces, k)
-        for n in cuts:
-            if counts is not None and (plain or n > 1):
-                got.append(before[k] + counts[at[n]])
-            else:
-                rest = text[starts[tail] : starts[k] + n]
-                got.append(before[tail] + sum(map(self._count, self.pieces(rest))))
-        return got
+    def _inside(self, text: str, pieces: list[str], before: list[int], starts: list[int], k: int, most: int | None = None) -> list[int]:
+        """Counts of the prefixes that end 1, 2, ... (up to ``most``) characters into piece k: one table gives them all."""
+        piece, tail = pieces[k], self._tail(pieces, k)
+        if piece in self.special or piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
+            # a short piece that falls apart when it is cut
+            cuts = (text[starts[tail] : starts[k] + n] for n in range(1, len(piece) + 1))
+            return [before[tail] + sum(map(self._count, self.pieces(rest))) for rest in cuts]
+
+        def at(word: str, first: int) -> list[int]:
+            word = word if most is None else word[: first + most]
+            counts = self.table(word.encode())
+            return [counts[b] for b in list(accumulate(len(c.encode()) for c in word))[first:]]
+
+        if piece[0].isspace() and tail < k or piece.isspace():
+            # a prefix that ends in white space ends with all of the run as one word
+            run = text[starts[tail] : starts[k]] + (piece if piece.isspace() else piece[0])
+            out = [before[tail] + n for n in at(run, starts[k] - starts[tail])]
+            return out if piece.isspace() else out + [before[k] + n for n in at(piece, 1)]
+        return [before[k] + n for n in at(piece, 0)]
 
     def fitting(self, text: str, limit: int) -> int:
         """Characters of the longest prefix of at most ``limit`` tokens."""
@@ -150,9 +153,10 @@ class PrefixCounter:
         while k + 1 < len(pieces) and before[self._tail(pieces, k + 1)] <= limit:
             k += 1
         for at in range(k, -1, -1):
-            cuts = range(len(pieces[at]), 0, -1)
-            for n, c in zip(cuts, self._inside(text, pieces, before, starts, at, cuts), strict=True):
-                if c <= limit:
+            # no token has more bytes than the longest, so longer prefixes have too many
+            counts = self._inside(text, pieces, before, starts, at, (limit - before[self._tail(pieces, at)] + 1) * self.longest)
+            for n in range(len(counts), 0, -1):
+                if counts[n - 1] <= limit:
                     return starts[at] + n
         return 0
 
@@ -168,7 +172,7 @@ def count_tokens(
     """(id, n_bytes, n_tokens, over_limit, limit_chars) of every row.
 
     Null text counts as empty: no bytes, no tokens. limit_chars is how many characters of the text
-    fit into ``limit`` tokens. Repeated rows give repeated results; other columns are not read.
+    fit into ``limit`` tokens. Time is linear in the text, also for long runs without a word's end. Repeated rows give repeated results; other columns are not read.
     """
     id_type = df.schema[id_col].dataType
     schema = T.StructType(

@@ -201,7 +201,7 @@ def grade(df: DataFrame, model: Ordinal, limit: float = LIMIT, id_col: str = "do
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         m = shared.value
-        weight = memo.setdefault(0, Bounded(m.word_weight, 300_000)) if m.weights else None
+        weight = memo.setdefault(0, Bounded(m.word_weight)) if m.weights else None
         scores = [sum(map(weight.__getitem__, sorted(words(t)))) if weight is not None else 0.0 for t in rows[text_col]]
         above = [m.chances(s) for s in scores]
         severity = [float(p.sum()) for p in above]

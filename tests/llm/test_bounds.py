@@ -1,8 +1,14 @@
 """Whole results beyond sizes at which an operator changes its way of working, and for rows without a single id."""
 
+import random
+import time
+
+import pytest
+
 import corpus_pipeline
-from lexweave.llm import decontamination, html_text, language_id
+from lexweave.llm import decontamination, html_text, language_id, queries, sentencepiece_viterbi, token_counts
 from lexweave.llm._common import table
+from lexweave.llm.bpe_pairs import Bounded
 
 
 def test_decontamination_gives_each_row_at_any_benchmark_size(spark, monkeypatch):
@@ -76,3 +82,51 @@ def test_a_teaser_article_does_not_hide_the_text_around_it():
     running = "This is the text of the page and it is about what was said to the people who were there, and of all that they did in the town on that day with their friends."
     page = f"<div><p>{running} One.</p><p>{running} Two.</p><p>{running} Three.</p></div><article><a href=x>Read on</a></article>"
     assert html_text.extract(page).split("\n") == [f"{running} {n}." for n in ("One", "Two", "Three")]
+
+
+@pytest.mark.parametrize("name", ["blanks", "apostrophes", "newlines", "letters"])
+def test_tokenizers_take_a_million_characters_without_a_word(name):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    r, n = random.Random(1), 1_000_000
+    text = {"blanks": " " * n, "apostrophes": "'" * n, "newlines": "\n" * n, "letters": "".join(r.choice("abcdefgh") for _ in range(n))}[name]
+    bpe, pieces = queries.tokenizer("byte_bpe_50k.json"), queries.tokenizer("piece_bpe_32k.model")
+    counter, codec = token_counts.PrefixCounter(bpe), sentencepiece_viterbi.PieceCodec(pieces)
+    began = time.perf_counter()
+    count, cut, ids = counter.count(text), counter.fitting(text, 512), codec.encode(text)
+    assert time.perf_counter() - began < 20
+    library = Tokenizer.from_file(bpe)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert count == size(text) and size(text[:cut]) <= 512 < size(text[: cut + 1])
+    assert ids[:1000] == sentencepiece.SentencePieceProcessor(model_file=pieces).encode(text[:50_000])[:1000] and codec.decode(ids) == text
+    assert len(counter.known) == len(codec.known) == 0
+
+
+def test_memo_is_bounded_in_bytes():
+    memo = Bounded(lambda k: k.encode() * 4, most=10_000)
+    for k in range(500):
+        assert memo[f"w{k}"] == f"w{k}".encode() * 4 and memo.held <= 10_000 and len(memo) <= 40
+    assert memo["x" * 300] and "x" * 300 not in memo
+
+
+def test_unigram_scores_decide():
+    r = random.Random(2)
+    codec = sentencepiece_viterbi.PieceCodec.__new__(sentencepiece_viterbi.PieceCodec)
+    pieces = sorted({"".join(r.choice("abc▁") for _ in range(r.randint(1, 4))) for _ in range(40)} | {"a", "b", "▁"})
+    codec.bytes = {b: 1000 + b for b in range(256)}
+    codec._learn(pieces, {p: (i, -r.uniform(1, 9) * len(p) ** 0.5) for i, p in enumerate(pieces)}, 999, sentencepiece_viterbi.UNIGRAM, 1 << 20)
+    for _ in range(300):
+        text = "".join(r.choice("abcd▁é") for _ in range(r.randint(1, 60)))
+        best = [(0.0, [])]
+        for end in range(1, len(text) + 1):
+            ways = [(best[a][0] + codec.weight[text[a:end]], [*best[a][1], text[a:end]]) for a in range(max(0, end - 4), end) if text[a:end] in codec.weight]
+            if text[end - 1] not in codec.weight:
+                ways.append((best[end - 1][0] + codec.unknown_weight, [*best[end - 1][1], text[end - 1]]))
+            best.append(max(ways, key=lambda w: w[0]))
+        assert list(codec.stream(text)) == [i for p in best[-1][1] for i in codec._ids_of(p)]
+
+
+def test_model_types_are_told_apart(tmp_path):
+    assert sentencepiece_viterbi.model_type(open(queries.tokenizer("piece_bpe_32k.model"), "rb").read()) == sentencepiece_viterbi.BPE
+    assert sentencepiece_viterbi.model_type(b"\x12\x02\x18\x03") == 3 and sentencepiece_viterbi.model_type(b"") == sentencepiece_viterbi.UNIGRAM
