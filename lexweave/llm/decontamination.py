@@ -7,6 +7,7 @@ length. The share of the item's words under tiles tells contamination, so reorde
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import cut, map_rows
+from lexweave.llm._common import cut, map_rows, numbered
 
 #: Words of a seed and of the shortest tile.
 LEAST_WORDS = 5
@@ -60,35 +61,45 @@ def tile(item: list[int], text: list[int], least: int = LEAST_WORDS) -> list[tup
     """Tiles (place in item, place in text, words): longest first, earliest first, never overlapping.
 
     Negative numbers in ``text`` match nothing. Search lengths fall from the item's length by halves to
-    ``least``; at each, all maximal matches of at least that length are marked, longest first.
+    ``least``; at each, all maximal matches of at least that length wait in a queue, longest first. What a
+    tile leaves of a match goes back into the queue by its own length, so no shorter one is marked before it.
     """
     in_item, in_text = bytearray(len(item)), bytearray(x < 0 for x in text)
     tiles: list[tuple[int, int, int]] = []
-    size = min(len(item), len(text))
-    while size >= least:
-        again = True
-        while again:
-            again = False
-            seeds: dict[int, list[int]] = {}
-            for at, h in _rolling(item, in_item, size):
-                seeds.setdefault(h, []).append(at)
-            found: list[tuple[int, int, int]] = []
-            for b, h in _rolling(text, in_text, size) if seeds else ():
-                for a in seeds.get(h, ()):
-                    if a and b and item[a - 1] == text[b - 1] and not (in_item[a - 1] or in_text[b - 1]):
-                        continue  # part of a longer match that starts earlier
-                    n = 0
-                    while a + n < len(item) and b + n < len(text) and item[a + n] == text[b + n] and not (in_item[a + n] or in_text[b + n]):
-                        n += 1
-                    if n >= size:
-                        found.append((-n, a, b))
-            for n, a, b in sorted(found):
-                n = -n
-                if any(in_item[a : a + n]) or any(in_text[b : b + n]):
-                    again = True  # what is left of it may still be long enough
+    size, left = min(len(item), len(text)), len(item)
+    while size >= least and left >= least:
+        seeds: dict[int, list[int]] = {}
+        for at, h in _rolling(item, in_item, size):
+            seeds.setdefault(h, []).append(at)
+        queue: list[tuple[int, int, int]] = []
+        for b, h in _rolling(text, in_text, size) if seeds else ():
+            for a in seeds.get(h, ()):
+                if a and b and item[a - 1] == text[b - 1] and not (in_item[a - 1] or in_text[b - 1]):
+                    continue  # part of a longer match that starts earlier
+                n = 0
+                while a + n < len(item) and b + n < len(text) and item[a + n] == text[b + n] and not (in_item[a + n] or in_text[b + n]):
+                    n += 1
+                if n >= size:
+                    queue.append((-n, a, b))
+        heapq.heapify(queue)
+        while queue and left >= size:
+            n, a, b = heapq.heappop(queue)
+            n, run = -n, 0
+            parts = []
+            for k in range(n + 1):
+                if k < n and not (in_item[a + k] or in_text[b + k]):
+                    run += 1
                     continue
-                in_item[a : a + n] = in_text[b : b + n] = b"\1" * n
-                tiles.append((a, b, n))
+                if run >= size:
+                    parts.append((-run, a + k - run, b + k - run))
+                run = 0
+            if parts != [(-n, a, b)]:
+                for part in parts:
+                    heapq.heappush(queue, part)
+                continue
+            in_item[a : a + n] = in_text[b : b + n] = b"\1" * n
+            tiles.append((a, b, n))
+            left -= n
         if size == least:
             break
         size = max(least, size // 2)
@@ -145,22 +156,20 @@ def matches(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, id_col:
     """(id, matches array<struct<item_id, coverage, tiles>>): every row, with the items it shares a tile with.
 
     Null and empty texts match nothing; items of fewer than ``least`` words have no seed and match
-    nothing. The benchmark's size is measured first: up to the block bound it is sent to the tasks
-    whole, a larger one in blocks, each against all documents, whose rows are numbered before: every row
-    gives one row, whatever its id.
+    nothing; items that share an id are matched apart. The benchmark's size is measured first: up to the
+    block bound it is sent to the tasks whole, a larger one block after block, so that driver and tasks
+    hold one at a time, each against all documents, whose rows are numbered before. Every row gives one
+    row, whatever its id.
     """
     bench = bench.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     n, size = bench.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     span = T.StructType([T.StructField(k, T.IntegerType()) for k in ("item_word", "doc_word", "words")])
     match = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(span))])
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("matches", T.ArrayType(match))])
-    out = docs.select(id_col, text_col)
-    if blocks > 1:
-        out = cut(out.withColumn("_row", F.monotonically_increasing_id()))
-        schema = T.StructType([*schema, T.StructField("_row", T.LongType())])
+    found_of = T.StructField("matches", T.ArrayType(match))
+    rows = docs.select(id_col, text_col)
 
-    def search(block: DataFrame) -> DataFrame:
+    def search(block: DataFrame, rows: DataFrame, key: str) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in block.orderBy("item_id", "text").collect()], least))
 
         def each(rows: dict[str, list]) -> dict[str, list]:
@@ -171,16 +180,18 @@ def matches(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, id_col:
             ]
             return {"matches": found}
 
-        return map_rows(out, schema, each)
+        return map_rows(rows, T.StructType([rows.schema[key], found_of]), each)
 
     if blocks == 1:
-        return search(bench)
-    parts = [search(bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)) for b in range(blocks)]
+        return search(bench, rows, id_col)
+    rows = numbered(docs.select(id_col, text_col), "_row")
+    block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    parts = [cut(search(bench.where(block_of == b), rows.select("_row", text_col), "_row").where("size(matches) > 0")) for b in range(blocks)]
     both = reduce(DataFrame.unionByName, parts)
-    merged = both.groupBy("_row", id_col).agg(F.flatten(F.collect_list("matches")).alias("matches"))
     # as from one block: by item; those of one item are in one block and keep their order
     by_item = lambda a, b: F.when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).otherwise(0)
-    return merged.select(id_col, F.array_sort("matches", by_item).alias("matches"))
+    merged = both.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("matches")), by_item).alias("matches"))
+    return rows.select("_row", id_col).join(merged, "_row", "left").select(id_col, F.coalesce("matches", F.array().cast(found_of.dataType)).alias("matches"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE, **columns) -> DataFrame:

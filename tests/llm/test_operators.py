@@ -199,6 +199,19 @@ def test_tiles_equal_plain_greedy_tiling():
             assert item[a : a + n] == text[b : b + n]
 
 
+def test_tiles_of_small_alphabets_equal_plain_greedy_tiling():
+    random.seed(12)
+    item, text = [1, 0, 0, 1, 1, 0, 0, 1, 1, 1, 1, 1, 1, 1], [0, 0, 1, 1, 0, 1, 1, 1, 1, 1, 2, 0, 2, 0, 0, 1, 0, 0, 0, 1, 2, 1, 1, 2]
+    assert sorted(n for _, _, n in decontamination.tile(item, text, 3)) == [4, 6]
+    for _ in range(3000):
+        letters = random.randint(1, 3)
+        item = [random.randint(0, letters) for _ in range(random.randint(3, 16))]
+        text = [random.randint(0, letters) for _ in range(random.randint(3, 24))]
+        tiles = decontamination.tile(item, text, 3)
+        assert sum(n for _, _, n in tiles) == plain_tiles(item, text, 3)
+        assert len({k for a, _, n in tiles for k in range(a, a + n)}) == len({k for _, b, n in tiles for k in range(b, b + n)}) == sum(n for _, _, n in tiles)
+
+
 def test_reordered_passages_are_caught_and_clean_texts_left(spark, odd, nothing):
     words = [f"w{k}" for k in range(40)]
     moved = " ".join([*"said he that".split(), *words[20:], "and", *words[:20], "so"])
