@@ -104,9 +104,29 @@ def _escaped(column: str) -> str:
     return column
 
 
+#: CRC-32 of a text's bytes: the table of the reversed polynomial, then one step for each byte.
+_CRC_TABLE = "(select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)))"
+_NIBBLES = "list_transform(string_split(lower(hex(encode(coalesce(text, '')))), ''), lambda x: strpos('0123456789abcdef', x) - 1)"
+_BYTES = "list_transform(list_zip(n[1:-:2], n[2:-:2]), lambda x: 16 * x[1] + x[2])"
+
+
+def _shard_sql(shards: int) -> str:
+    """Of equal weights, the least ``-ln(u)`` is the greatest u."""
+    return f"arg_max(s, left(md5(coalesce(doc_id::varchar, '') || ':' || s), 13)) filter (where s < {shards})"
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL of the queries that SQL can express: 6 and 10. The others are tested by brute force."""
+    """DuckDB SQL of the queries that SQL can express: 4, 6 and 10. The others are tested by brute force."""
     return {
+        "op4_rendezvous_sharding": f"""
+            with b as (select doc_id, coalesce(octet_length(encode(text)), 0) + 1 size, {_NIBBLES} n from documents),
+            t as (select {_CRC_TABLE} crc),
+            c as (select doc_id, size, case when size = 1 then 0 else xor(4294967295, list_reduce(list_concat([4294967295], {_BYTES}),
+              lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) end text_crc32 from b, t),
+            r as (select doc_id, {_shard_sql(8)}::int shard, {_shard_sql(9)}::int grown_shard from documents, range(9) g(s) group by 1)
+            select doc_id, size::bigint size, text_crc32::bigint text_crc32, 'key' as law, shard,
+              row_number() over (partition by shard order by md5(doc_id::varchar), doc_id, text_crc32, size) - 1 as slot, grown_shard
+            from c join r using (doc_id)""",
         "op6_chat_format": f"""
             with t as (
               select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') r, coalesce(text, '') x from conversations

@@ -18,6 +18,8 @@ from lexweave.llm._common import utf8_bytes
 DIGITS = 13
 #: Numbering is dealt to so many ranges of the key hash in each shard: 16 to the power of three.
 RANGE_DIGITS = 3
+#: Ranges of rows without a key.
+NULL_RANGES = 256
 
 
 def score(key: Column, shard: object, weight: float = 1.0) -> Column:
@@ -40,23 +42,26 @@ def rendezvous(key: Column, shards: Sequence | Mapping[object, float]) -> Column
     return (F.least(*asks) if len(asks) > 1 else asks[0])["shard"]
 
 
-def numbered(df: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
-    """Adds gapless numbers from 0 within each shard, in order of the key's MD5 and then the key.
+def numbered(df: DataFrame, shard: str, key: str, slot: str = "slot", ties: Sequence[str] = ()) -> DataFrame:
+    """Adds gapless numbers from 0 within each shard, in order of the key's MD5, the key and ``ties``.
 
     Each shard is cut into ranges of that hash, numbered side by side and shifted by the counts of the
-    ranges before them, so no task holds a shard. Rows with equal keys are numbered in any order.
+    ranges before them, so no task holds a shard. Rows without a key all have one hash: they are dealt to
+    ``NULL_RANGES`` further ranges by a hash of ``ties`` and stand behind the keys of their range. Rows
+    that are equal in key and ties are numbered in any order, which shows nowhere.
     """
     from pyspark.sql import Window
 
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    df = df.withColumn("_hash", F.md5(text)).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
-    counts = df.groupBy(shard, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(shard, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    place = F.row_number().over(Window.partitionBy(shard, "_range").orderBy("_hash", key))
-    # 4096 ranges for each shard at most, whatever the input: small enough to send to every task
-    joined = df.join(F.broadcast(shifts), [shard, "_range"])
-    return joined.withColumn(slot, (F.col("_shift") + place - 1).cast("long")).drop("_hash", "_range", "_shift")
+    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*ties), F.lit(NULL_RANGES)) + 1).otherwise(0) if ties else F.lit(0)
+    df = df.withColumn("_hash", F.md5(text)).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS)).withColumn("_part", part.cast("int"))
+    counts = df.groupBy(shard, "_range", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(shard).orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(shard, "_range", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy(shard, "_range", "_part").orderBy("_hash", key, *ties))
+    # 4096 ranges and those without a key for each shard at most, whatever the input: small enough to send to every task
+    joined = df.join(F.broadcast(shifts), [shard, "_range", "_part"])
+    return joined.withColumn(slot, (F.col("_shift") + place - 1).cast("long")).drop("_hash", "_range", "_part", "_shift")
 
 
 def assign(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,6 +80,6 @@ def assign(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
         rendezvous(key, now).alias("shard"),
         rendezvous(key, [*now, shards]).alias("grown_shard"),
     )
-    return numbered(rows, "shard", id_col).select(
+    return numbered(rows, "shard", id_col, ties=("text_crc32", "size")).select(
         id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
