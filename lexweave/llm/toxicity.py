@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import map_rows
+from lexweave.llm._common import cut, map_rows
 from lexweave.llm.bpe_pairs import Bounded
 from lexweave.shipping import ship
 
@@ -101,9 +101,10 @@ def train(
 ) -> Ordinal:
     """Fits the model on labelled documents.
 
-    Bounded: about ``sample_docs`` labelled rows, those with the least id hash. Labels are 0 or 1; grades
-    above 1 come from the evidence that a toxic document's words hold. Null labels and labels without a
-    document are left out; without toxic rows nothing is toxic. The driver gets the chosen features and,
+    Bounded: about ``sample_docs`` labelled rows, those with the least id hash, written down once. Labels are
+    0 or 1; grades above 1 are derived from the evidence that a toxic document's words hold, so they order
+    toxic documents but are no labels of their own. Null labels and labels without a document are left out;
+    of several labels of one id the greatest counts; without toxic rows nothing is toxic. The driver gets the chosen features and,
     for each sampled row, its label, its evidence and its counts of those.
     """
     rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
@@ -111,7 +112,7 @@ def train(
     place = F.shiftrightunsigned(F.xxhash64(id_col), 11).cast("double") / float(1 << 53)
     sample = rated.where(place <= min(1.0, sample_docs / size))
     texts = df.where(place <= min(1.0, sample_docs / size)).select(id_col, text_col)
-    known = texts.join(sample, id_col).select(text_col, (F.col("_y") > 0).cast("int").alias("_y"))
+    known = cut(texts.join(sample, id_col).select(text_col, (F.col("_y") > 0).cast("int").alias("_y")))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic, docs = Counter(), Counter(), [0, 0]
@@ -186,7 +187,8 @@ def grade(df: DataFrame, model: Ordinal, limit: float = LIMIT, id_col: str = "do
     """(id, toxic, grade int, severity double) of every row.
 
     severity is the expected grade, the sum of P(grade > k); grade the most likely one; toxic whether
-    severity reaches ``limit``. Null and empty texts have no features, so the least severity.
+    severity reaches ``limit``. Null and empty texts have no features, so the least severity. Repeated rows
+    give repeated results.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(

@@ -1,12 +1,13 @@
 """Whole results beyond sizes at which an operator changes its way of working, and for rows without a single id."""
 
+import math
 import random
 import time
 
 import pytest
 
 import corpus_pipeline
-from lexweave.llm import decontamination, html_text, language_id, queries, sentencepiece_viterbi, token_counts
+from lexweave.llm import decontamination, html_text, language_id, queries, sentencepiece_viterbi, token_counts, toxicity
 from lexweave.llm._common import table
 from lexweave.llm.bpe_pairs import Bounded
 
@@ -130,3 +131,43 @@ def test_unigram_scores_decide():
 def test_model_types_are_told_apart(tmp_path):
     assert sentencepiece_viterbi.model_type(open(queries.tokenizer("piece_bpe_32k.model"), "rb").read()) == sentencepiece_viterbi.BPE
     assert sentencepiece_viterbi.model_type(b"\x12\x02\x18\x03") == 3 and sentencepiece_viterbi.model_type(b"") == sentencepiece_viterbi.UNIGRAM
+
+
+def test_severity_is_the_models_own_arithmetic(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.unionByName(labels))  # repeated label rows change nothing
+    assert model.weights == toxicity.train(docs, labels).weights and model.weights
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.grade(docs, model).collect():
+        found = {w for w in toxicity.WORD.findall(texts[r.doc_id].lower())}
+        x = math.fsum(model.weights.get(f, 0.0) for w in found for f in [w, *(w[:n] + "-" for n in range(3, 9) if len(w) > n)])
+        above = [1 / (1 + math.exp(min(60.0, max(-60.0, t - x)))) for t in model.thresholds]
+        chances = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        assert math.isclose(r.severity, sum(above), abs_tol=1e-9) and r.toxic == (r.severity >= toxicity.LIMIT)
+        assert math.isclose(chances[r.grade], max(chances), abs_tol=1e-9)
+
+
+def test_language_score_is_the_filters_own_arithmetic(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language_id.identify(docs.where("doc_id < 40"), model).collect():
+        low = f" {texts[r.doc_id]} ".lower()
+        codes = [language_id.grams("".join(c if c.isalpha() else " " for c in low[k - 1 : k + 2])) for k in range(1, len(low) - 1) if low[k].isalpha()]
+        hits = [sum(int(model.contains(c)[0]) >> k & 1 for c in codes) for k in range(len(model.languages))]
+        true = [min(len(codes), max(0.0, (h - len(codes) * f) / (1 - f))) for h, f in zip(hits, model.false.tolist(), strict=True)]
+        best = true.index(max(true))
+        assert r.lang_pred == model.languages[best] and math.isclose(r.score, true[best] / len(codes), abs_tol=1e-9)
+
+
+def test_long_texts_have_no_edges(monkeypatch):
+    import numpy as np
+
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(400))
+    codes = np.unique(language_id.grams(language_id.padded(text)))[::2]
+    model = language_id.Filter.build(["x"], codes, np.ones(len(codes), np.uint64), "x")
+    whole = model.decide(text)
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(language_id, "CHUNK", size)
+        assert model.decide(text) == whole
