@@ -41,7 +41,7 @@ SAMPLE_DOCS = 5000
 #: Count in the sample from which a shingle is frequent, and texts that one task chains at a frequent one, about.
 FREQUENT, CHAIN_ROWS = 2, 100_000
 #: Texts before it, in order of their keys, that a text is compared with first at each meeting place.
-CHAINED = 4
+CHAINED = 12
 SEED = 42
 #: Bits of the map that tells which texts to read again; a full map only reads more of them.
 MAP_BITS = 25
