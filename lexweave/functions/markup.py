@@ -13,8 +13,10 @@ PLACE = "⟦[TN][0-9]+⟧"
 MARKER = r"(?i)(^|_)(iv2|iv_2|idea_variation_2)(_|\z)"
 IDENT = r"^[A-Za-z][A-Za-z0-9_]*\z"
 KINDS = ("variable", "scope", "format", "format_end", "icon", "texticon", "newline")
-#: Stand-ins of a token and of a number in a skeleton: private-use characters, absent from real text.
-TOKEN_MARK, NUMBER_MARK = "\ue000", "\ue001"
+#: Stand-ins of a token and of a number in a skeleton, and what writes the three characters themselves in it.
+TOKEN_MARK, NUMBER_MARK, ESCAPE = "\ue000", "\ue001", "\ue002"
+#: Each of them as a skeleton writes it.
+ESCAPED = {mark: ESCAPE + chr(ord(ESCAPE) + 1 + k) for k, mark in enumerate((ESCAPE, TOKEN_MARK, NUMBER_MARK))}
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,7 +98,11 @@ def classify(v: Column) -> Column:
 
 def skeleton(v: Column) -> Column:
     """Text with every token and number replaced by its mark: equal exactly for equal templates."""
-    return F.regexp_replace(F.regexp_replace(v, TOKEN, TOKEN_MARK), "[0-9]+", NUMBER_MARK)
+    plain = v
+    for mark, written in ESCAPED.items():
+        plain = F.replace(plain, F.lit(mark), F.lit(written))
+    plain = F.when(v.rlike(f"[{TOKEN_MARK}-{ESCAPE}]"), plain).otherwise(v)
+    return F.regexp_replace(F.regexp_replace(plain, TOKEN, TOKEN_MARK), "[0-9]+", NUMBER_MARK)
 
 
 def _count_up(skel: Column, mark: str, letter: str) -> Column:
@@ -107,7 +113,15 @@ def _count_up(skel: Column, mark: str, letter: str) -> Column:
 
 def template_of(skel: Column) -> Column:
     """The numbered template of a skeleton (O-30): tokens and numbers count up on their own."""
-    return _count_up(_count_up(skel, TOKEN_MARK, "T"), NUMBER_MARK, "N")
+    out = _count_up(_count_up(skel, TOKEN_MARK, "T"), NUMBER_MARK, "N")
+
+    def plain(t: Column) -> Column:
+        back = t
+        for mark, written in reversed(ESCAPED.items()):
+            back = F.replace(back, F.lit(written), F.lit(mark))
+        return F.when(F.contains(t, F.lit(ESCAPE)), back).otherwise(t)
+
+    return bound(out, plain)
 
 
 def numbers(v: Column) -> Column:

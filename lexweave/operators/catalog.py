@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexweave.functions import markup as M
 from lexweave.functions.particles import polish
 from lexweave.operators import inventory as I
+from lexweave.shipping import ship
 
+#: Characters of a key that tell ranges of a catalog apart.
+RANGE_CHARS = 10
 UNIT = "template string, korean string, rep string, class string, members long, pos long"
+# The rules that are errors.
 ERRORS = (
     "non-ascii-path bad-filename missing-bom bad-header replace-dir unknown-key shadows-baseline layer-mismatch "
     "leaked-placeholder empty-translation token-mismatch do-not-translate"
@@ -23,10 +33,18 @@ def from_groups(grouped: DataFrame) -> DataFrame:
 
 
 def numbered(units: DataFrame) -> DataFrame:
-    """Positions by (class, rep), ties by earlier position (O-77). A catalog is a report that a person edits; it fits a task."""
+    """Positions by (class, rep), ties by earlier position (O-77).
+
+    Units are ranked side by side in ranges of (class, beginning of the representative key), which are
+    shifted by the counts before them, so no task sorts a catalog.
+    """
     ties = ["pos"] if "pos" in units.columns else ["template"]
-    at = F.row_number().over(Window.orderBy("class", "rep", *ties)) - 1
-    return units.withColumn("_at", at.cast("long")).drop("pos").withColumnRenamed("_at", "pos")
+    rows = units.withColumn("_range", F.struct("class", F.left("rep", F.lit(RANGE_CHARS)).alias("start")))
+    shift = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+    shifts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", shift.alias("_shift"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("rep", *ties)) - 1
+    ranked = rows.withColumn("_rank", rank).join(shifts, "_range")
+    return ranked.withColumn("_at", (F.col("_shift") + F.col("_rank")).cast("long")).drop("pos", "_range", "_rank", "_shift").withColumnRenamed("_at", "pos")
 
 
 def last_units(catalog: DataFrame) -> DataFrame:
@@ -63,8 +81,10 @@ def bind(entries: DataFrame) -> DataFrame:
 def render(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every row with its rendered text and state (O-54, O-71, O-87).
 
-    Adds ``text``, and the flags do_not_touch, translated, english and fell_back. A row whose placeholders
-    can't be filled keeps its source and counts as english only.
+    Adds ``text``, and the flags do_not_touch, translated, english and fell_back. Translated is a text that
+    differs from its source, english any other, also a translation that equals it; fell_back is a
+    translation that broke a rule and was replaced by its source. A row whose placeholders can't be filled
+    keeps its source and counts as english only.
     """
     known = last_units(translated(catalog)).select("template", "korean")
     rows = entries.join(bind(entries), "key", "left").join(known, "template", "left")
@@ -73,14 +93,15 @@ def render(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = rows.withColumn("_keep", keep).withColumn("_f", F.when(F.col("korean").isNotNull() & ~keep, filled))
     rows = rows.withColumn("_t", F.when(F.col("_f.ok"), polish(F.col("_f.value"))))
     rows = rows.withColumn("_ok", F.size(M.check_pair(F.col("key"), F.col("value"), F.col("_t"))) == 0)
-    done = F.col("_t").isNotNull() & F.col("_ok")
+    differs = F.coalesce(F.col("_t") != F.col("value"), F.lit(False))
+    done = differs & F.col("_ok")
     return rows.select(
         *entries.columns,
         F.when(done, F.col("_t")).otherwise(F.col("value")).alias("text"),
         F.col("_keep").alias("do_not_touch"),
         done.alias("translated"),
         (~done).alias("english"),
-        (F.col("_t").isNotNull() & ~F.col("_ok")).alias("fell_back"),
+        (differs & ~F.col("_ok")).alias("fell_back"),
     )
 
 
@@ -214,6 +235,15 @@ def compare(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     return current.unionByName(gone)
 
 
+def change_counts(changes: DataFrame) -> DataFrame:
+    """One row of changes by kind (O-88); untranslated units are unchanged ones, too."""
+    kind = F.col("kind")
+    return changes.agg(
+        F.count_if(kind.isin("unchanged", "untranslated")).alias("unchanged"),
+        *(F.count_if(kind == k).alias(k) for k in ("untranslated", "new", "changed", "orphaned")),
+    )
+
+
 def work(changes: DataFrame) -> DataFrame:
     """One row: units that need a translation (O-75)."""
     return changes.agg(F.count_if(F.col("kind").isin("new", "changed", "untranslated")).alias("work"))
@@ -253,18 +283,49 @@ def polish_catalog(catalog: DataFrame) -> DataFrame:
 def relevant_terms(texts: DataFrame, glossary: DataFrame, batch: str = "batch", text: str = "text", most: int = 10_000) -> DataFrame:
     """(batch, term, rendering): glossary terms that a batch's texts contain, ignoring case (O-60).
 
-    Containment has no equality to join on. The glossary's size is checked, and it travels as one array
-    literal column; a larger glossary is refused rather than multiplied into the texts.
+    Containment has no equality to join on: an automaton finds all terms in one pass over each text. A
+    glossary of more than about ``most`` terms is taken in blocks by a hash, so none is ever refused.
+    Null texts and terms match nothing; the empty term is in every text.
     """
-    terms = glossary.orderBy("term").limit(most + 1).collect()
-    if len(terms) > most:
-        raise ValueError(f"a glossary of more than {most} terms")
-    if not terms:
-        return texts.select(F.col(batch), F.lit("").alias("term"), F.lit("").alias("rendering")).limit(0)
-    listed = F.array(*(F.struct(F.lit(t["term"]).alias("term"), F.lit(t["rendering"]).alias("rendering")) for t in terms))
-    low = F.lower(F.col(text))
-    hits = F.filter(listed, lambda t: F.contains(low, F.lower(t["term"])))
-    return texts.select(batch, F.explode(hits).alias("t")).select(batch, "t.term", "t.rendering").distinct()
+    ship(texts.sparkSession)
+    known = glossary.where(F.col("term").isNotNull()).select("term", "rendering", F.lower("term").alias("low"))
+    blocks = max(1, -(-known.count() // most))
+    low = texts.where(F.col(text).isNotNull()).select(F.col(batch).alias("batch"), F.lower(text).alias("text"))
+    schema = StructType([StructField("batch", low.schema["batch"].dataType), StructField("term", StringType()), StructField("rendering", StringType())])
+    parts = []
+    for b in range(blocks):
+        rows = [tuple(r) for r in known.where(F.pmod(F.xxhash64("low"), F.lit(blocks)) == b).collect()]
+        parts.append(low.mapInArrow(_finder(texts.sparkSession.sparkContext.broadcast(rows)), schema))
+    return reduce(DataFrame.unionByName, parts).distinct().withColumnRenamed("batch", batch)
+
+
+def _finder(shared):
+    """A map over (batch, text) that gives a row for each term of ``shared`` in a text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_low: dict[str, list[tuple[str, str]]] = {}
+        for term, rendering, low in shared.value:
+            by_low.setdefault(low, []).append((term, rendering))
+        automaton = ahocorasick.Automaton()
+        for low in by_low:
+            if low:
+                automaton.add_word(low, low)
+        automaton.make_automaton()
+        for part in batches:
+            for at in range(0, part.num_rows, 256):
+                some = part.slice(at, 256)
+                places, rows = [], []
+                for k, text in enumerate(some.column(1).to_pylist()):
+                    found = set(word for _, word in automaton.iter(text)) if len(automaton) else set()
+                    for low in found | ({""} & by_low.keys()):
+                        rows += by_low[low]
+                        places += [k] * len(by_low[low])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(pa.array(places, pa.int64())), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())],
+                    names=["batch", "term", "rendering"],
+                )
+
+    return find
 
 
 def cost(usage: DataFrame) -> DataFrame:

@@ -117,11 +117,12 @@ def distinct_keys(*trees: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, size: int = 40, order: str = "pos") -> DataFrame:
-    """Adds batch (from 0) and id (from 1) in it, in order of an integer position (O-82).
+    """Adds batch (from 0) and id (from 1) in it, in order of an integer position (O-82); rows without one come last.
 
     Positions are ranked inside ranges and shifted by the counts before, so no task sorts the table.
     """
-    spark_ranges = df.withColumn("_range", F.expr(f"{order} div 100000"))
+    last = F.lit(2**62)
+    spark_ranges = df.withColumn("_range", F.coalesce(F.expr(f"{order} div 100000"), last))
     sizes = spark_ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     shifts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_shift"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1

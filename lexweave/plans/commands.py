@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import functools
+import importlib
 import os
 import sys
 
@@ -15,6 +17,7 @@ from lexweave.operators import catalog as C
 from lexweave.operators import inventory as I
 from lexweave.operators import translate as T
 from lexweave.sources import files, sinks
+from lexweave.storage import stored
 
 
 def extract(spark: SparkSession, src: str, lang: str = "english") -> dict[str, DataFrame]:
@@ -79,11 +82,12 @@ def keys(spark: SparkSession, srcs: list[str], langs: tuple[str, ...] = ("englis
     return I.distinct_keys(*(files.scan(spark, s, lang)[0] for s in srcs for lang in langs))
 
 
-def build(spark: SparkSession, src: str, out: str, catalog: DataFrame, src_lang: str = "english", dst_lang: str = "korean", single: str | None = None) -> DataFrame:
-    """Writes the pack and returns its statistics (O-87)."""
+def build(spark: SparkSession, src: str, out: str, catalog: DataFrame | None, src_lang: str = "english", dst_lang: str = "korean", single: str | None = None) -> DataFrame:
+    """Writes the pack and returns its statistics (O-87); without a catalog every text stays as it is."""
     if not out.isascii():
         raise ValueError("the output path has characters beyond ASCII")
-    rendered = C.render(files.scan(spark, src, src_lang)[0], catalog)
+    catalog = spark.createDataFrame([], C.UNIT) if catalog is None else catalog
+    rendered = stored(C.render(files.scan(spark, src, src_lang)[0], catalog))
     n = sinks.write_localization(rendered, out, src_lang, dst_lang, single)
     return C.build_stats(rendered).withColumn("files", F.lit(n))
 
@@ -109,11 +113,12 @@ def arguments() -> argparse.ArgumentParser:
 
     text = lambda **o: {"default": "", **o}
     many, yes, number = {"action": "append", "default": []}, {"action": "store_true"}, lambda n: {"type": int, "default": n}
+    sub.add_parser("help")
     command("extract", ("src", {"required": True}), ("lang", text(default="english")), ("json", text()), ("top", number(15)), ("show-foreign", yes))
     command("validate", ("src", {"required": True}), ("out", text()), ("baseline", many), ("baseline-keys", many), ("src-lang", text(default="english")), ("dst-lang", text(default="korean")), ("json", text()), ("limit", number(20)))
     command("keys", ("src", many), ("lang", many), ("out", {"required": True}))
-    command("build", ("src", {"required": True}), ("out", {"required": True}), ("catalog", {"required": True}), ("init-catalog", yes), ("name", text(default="Pack")), ("id", text(default="pack")), ("version", text(default="1.0.0")), ("game-version", text(default="*")), ("single-file", yes), ("no-validate", yes), ("limit", number(10)))
-    command("translate", ("catalog", {"required": True}), ("glossary", text()), ("model", text()), ("batch", number(40)), ("concurrency", number(4)), ("limit", number(0)), ("retries", number(5)), ("retranslate", yes), ("dry-run", yes))
+    command("build", ("src", {"required": True}), ("out", text()), ("catalog", text()), ("init-catalog", text()), ("name", text(default="Pack")), ("id", text(default="pack")), ("version", text(default="1.0.0")), ("game-version", text(default="*")), ("single-file", yes), ("no-validate", yes), ("limit", number(10)))
+    command("translate", ("catalog", {"required": True}), ("glossary", text()), ("client", text()), ("model", text()), ("batch", number(40)), ("concurrency", number(4)), ("limit", number(0)), ("retries", number(5)), ("retranslate", yes), ("dry-run", yes))
     command("polish", ("catalog", {"required": True}), ("limit", number(10)))
     command("diff", ("src", {"required": True}), ("catalog", {"required": True}), ("out", text()), ("lang", text(default="english")), ("dst-lang", text(default="korean")), ("update", yes), ("prune", yes), ("json", text()), ("limit", number(10)))
     return top
@@ -129,10 +134,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
         a = arguments().parse_args(argv)
     except SystemExit as x:
         return 2 if x.code else 0
+    if a.command == "help":
+        say(arguments().format_help())
+        return 0
     spark = spark or SparkSession.builder.appName("lexweave").getOrCreate()
     try:
         return _run(a, spark, client, say)
-    except (ValueError, OSError, AnalysisException) as x:
+    except (ValueError, OSError, ImportError, AttributeError, AnalysisException) as x:
         say(f"error: {x}")
         return 1
 
@@ -166,9 +174,12 @@ def _run(a, spark: SparkSession, client, say) -> int:
         sinks.write_digest(keys(spark, a.src, tuple(a.lang) or ("english", "korean")), a.out, a.src)
     elif a.command == "build":
         if a.init_catalog:
-            sinks.write_catalog(C.from_groups(I.groups(files.scan(spark, a.src)[0])), a.catalog)
+            sinks.write_catalog(C.from_groups(I.groups(files.scan(spark, a.src)[0])), a.init_catalog)
             return 0
-        stats = build(spark, a.src, a.out, files.read_catalog(spark, a.catalog), single="all" if a.single_file else None)
+        if not a.out or not a.id.isascii():
+            raise ValueError("a build needs --out, and an id in ASCII")
+        catalog = files.read_catalog(spark, a.catalog) if a.catalog else None
+        stats = build(spark, a.src, a.out, catalog, single=a.id if a.single_file else None)
         sinks.write_metadata(a.out, a.name, a.id, a.version, a.game_version)
         sinks.write_thumbnail(a.out)
         show("Built", stats, 1)
@@ -177,14 +188,18 @@ def _run(a, spark: SparkSession, client, say) -> int:
     elif a.command == "translate":
         units = files.read_catalog(spark, a.catalog)
         todo = C.pending(units, a.retranslate, a.limit)
+        if client is None and a.client:
+            module, _, name = a.client.partition(":")
+            client = getattr(importlib.import_module(module), name or "client")
+            client = functools.partial(client, model=a.model) if a.model else client
         if a.dry_run or client is None:
             show("Pending", todo.select("pos", "template", "members"), 20)
             return 0 if a.dry_run else 1
         terms = {r["term"]: r["rendering"] for r in files.read_glossary(spark, a.glossary).collect()} if a.glossary else {}
-        done = T.run(todo, client, terms, a.batch, a.retries, a.concurrency).persist()
+        # answers are paid for: they are stored before anything reads them
+        done = stored(T.run(todo, client, terms, a.batch, a.retries, a.concurrency))
         fresh = done.where("korean <> ''").select("pos", F.col("korean").alias("_new"))
-        merged = units.join(fresh, "pos", "left").withColumn("korean", F.coalesce("_new", "korean")).drop("_new").persist()
-        merged.count()
+        merged = units.join(fresh, "pos", "left").withColumn("korean", F.coalesce("_new", "korean")).drop("_new")
         sinks.write_catalog(merged, a.catalog)
         show("Cost", C.cost(done), 1)
         show("Rejected", T.rejections(done), 20)
@@ -192,20 +207,17 @@ def _run(a, spark: SparkSession, client, say) -> int:
         units = files.read_catalog(spark, a.catalog)
         fixed = C.polish_catalog(units).persist()
         show("Changed", fixed.where("changed").select("korean", "polished"), a.limit)
-        merged = units.join(fixed.select("pos", "polished"), "pos", "left").withColumn("korean", F.coalesce("polished", "korean")).drop("polished").persist()
-        merged.count()
+        merged = units.join(fixed.select("pos", "polished"), "pos", "left").withColumn("korean", F.coalesce("polished", "korean")).drop("polished")
         sinks.write_catalog(merged, a.catalog)
     elif a.command == "diff":
-        units = files.read_catalog(spark, a.catalog).persist()
+        units = files.read_catalog(spark, a.catalog)
         got = diff(spark, a.src, units, a.out or None, a.lang, a.dst_lang)
-        show("Changes", got["changes"].groupBy("kind").count(), 10)
+        show("Changes", C.change_counts(got["changes"]), 1)
         show("Work", C.work(got["changes"]), 1)
         if a.json:
             sinks.write_json({k: _rows(v) for k, v in got.items()}, a.json)
         if a.update:
-            units.count()
-            merged = C.numbered(C.merge(I.groups(files.scan(spark, a.src, a.lang)[0]), units, a.prune)).persist()
-            merged.count()
+            merged = C.numbered(C.merge(I.groups(files.scan(spark, a.src, a.lang)[0]), units, a.prune))
             sinks.write_catalog(merged, a.catalog)
     return 0
 

@@ -5,6 +5,8 @@ Most work on rows of keyed, markup-bearing text that one SQL text makes of ``ord
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,9 @@ from lexweave.functions.particles import polish
 from lexweave.operators import catalog as C
 from lexweave.operators import inventory as I
 from lexweave.operators import translate as T
+from lexweave.plans import commands
 from lexweave.sources import files, sinks
+from lexweave.storage import fresh_path, mounted
 
 #: Keyed rows: most in the namespace, some colours, identifiers, references and blanks among them.
 ROWS = """
@@ -35,10 +39,18 @@ from {orders}"""
 PAIRS = f"""
 select *, case when k % 13 = 0 then '' when k % 17 = 0 then value || ' ⟦N1⟧' when k % 11 = 0 then replace(value, '#!', '')
   when k % 3 = 0 then value else replace(value, 'Order', '주문') end as translation from ({ROWS}) r"""
-OLD = f"select * from ({ROWS}) r where k % 10 <> 0"
-NEW = f"select k, key, file, layer, line, case when k % 20 = 2 then replace(value, 'Order', 'Purchase') else value end as value from ({ROWS}) r where k % 10 <> 1"
+
+def renamed(rows: str, when: str) -> str:
+    """All rows, some under another key: sides of a comparison differ by that and leave no row out."""
+    return f"select k, case when {when} then key || '_else' else key end as key, file, layer, line, value from ({rows}) n"
+
+
+#: Two versions of all rows: some have another key and text in either, and some another text in the new one.
+OLD = f"select k, key, file, layer, line, case when k % 10 = 0 then value || ' before' else value end as value from ({renamed(ROWS, 'k % 10 = 0')}) o"
+NEW = f"""select k, key, file, layer, line, case when k % 10 = 1 then value || ' after' when k % 20 = 2 then replace(value, 'Order', 'Purchase') else value end as value
+  from ({renamed(ROWS, 'k % 10 = 1')}) w"""
 #: Texts in Korean with particle pairs, for the operators that have no SQL.
-PARTICLES = "select o_orderkey as k, chr(cast(44032 + o_custkey % 11172 as int)) || '을(를) ' || cast(o_orderkey % 10 as string) || '은(는) 서울으로(로) abc이(가) ⟦T1⟧와(과) 책을(를)이(가)' as v from {orders}"
+PARTICLES = "select o_orderkey as k, decode(unhex(hex(44032 + o_custkey % 11172)), 'UTF-16BE') || '을(를) ' || cast(o_orderkey % 10 as string) || '은(는) 서울으로(로) abc이(가) ⟦T1⟧와(과) 책을(를)이(가)' as v from {orders}"
 
 _BLANK = r"regexp_full_match({0}, '[\s\x{{85}}\p{{Z}}\v]*')"
 
@@ -67,6 +79,16 @@ def _template(s: str) -> str:
     return f"{between}[1] || coalesce(list_aggregate(list_transform({found}, lambda x, i: {label}), 'string_agg', ''), '')"
 
 
+def _template_of(v: str) -> str:
+    """The template straight from a text, without a skeleton."""
+    either = f"{M.TOKEN}|[0-9]+"
+    found, between = f"regexp_extract_all({v}, '{either}')", f"regexp_split_to_array({v}, '{either}')"
+    kind = "case when {0}[1] between '0' and '9' then 'N' else 'T' end"
+    same = f"len(list_filter({found}[1:i], lambda y: {kind.format('y')} = {kind.format('x')}))"
+    label = f"'⟦' || {kind.format('x')} || {same} || '⟧' || {between}[i + 1]"
+    return f"{between}[1] || coalesce(list_aggregate(list_transform({found}, lambda x, i: {label}), 'string_agg', ''), '')"
+
+
 def _surplus(a: str, b: str) -> str:
     n = f"(len(list_filter({a}, lambda y: y = t)) - len(list_filter({b}, lambda y: y = t)))"
     shown = f"t || case when {n} > 1 then ' x' || {n} else '' end"
@@ -97,8 +119,8 @@ def _groups(rows: str) -> str:
     return f"select {_template('s')} template, c as class, rep, members from (select {_skeleton('value')} s, min({_class('value')}) c, min(key) rep, count(*) members from ({rows}) e group by 1) g"
 
 
-#: The catalog of the old rows' groups: a third is untranslated.
-CATALOG = "select template, case when length(template) % 3 = 0 then '' else 'K ' || template end as korean, rep, class, cast(members as bigint) as members, cast(row_number() over (order by class, rep, template) - 1 as bigint) as pos from "
+#: The catalog of the old rows' groups: a third is untranslated, and some translations equal their source.
+CATALOG = "select template, case when length(template) % 3 = 0 then '' when length(template) % 5 = 1 then template else 'K ' || template end as korean, rep, class, cast(members as bigint) as members, cast(row_number() over (order by class, rep, template) - 1 as bigint) as pos from "
 _CATALOG = f"{CATALOG}({_groups(_OLD)}) q"
 #: Rules of a pair, as (rule, condition on key, value, translation).
 _BROKEN = [
@@ -140,24 +162,30 @@ def old_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(CATALOG + "{g} q", g=I.groups(made(spark, sf, OLD)))
 
 
+#: Rows of a file of the fixture below.
+FILE_ROWS = 2000
+_PATH = f"replace(file, '_l_english', '_' || (k // {FILE_ROWS}) || '_l_english')"
+
+
 def contents(spark: SparkSession, sf: str) -> DataFrame:
-    """(path, content): the rows as files, with comments and versions."""
+    """(path, content): the rows as files of a bounded size, with comments and versions."""
+    path = F.replace("file", F.lit("_l_english"), F.concat(F.lit("_"), F.expr(f"cast(k div {FILE_ROWS} as string)"), F.lit("_l_english")))
     text = F.concat(F.lit(" "), F.col("key"), F.lit(":"), F.when(F.col("k") % 2 == 0, F.lit("1")).otherwise(""), F.lit(' "'), M.quote(F.col("value")), F.lit('" # note "x"\r'))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))), lambda x: x["text"])
     whole = F.concat(F.lit("﻿l_english:\n"), F.array_join(lines, "\n"), F.lit("\nbad line\n"))
-    return made(spark, sf).groupBy(F.col("file").alias("path")).agg(whole.cast("binary").alias("content"))
+    return made(spark, sf).groupBy(path.alias("path")).agg(whole.cast("binary").alias("content"))
 
 
 # 2.1 sources
 
 
-@query(f"select file as path, true as had_bom, count(*) + 2 as lines from ({_ROWS}) r group by 1")
+@query(f"select {_PATH} as path, true as had_bom, count(*) + 2 as lines from ({_ROWS}) r group by 1")
 def o03_lines(spark, sf):
     return files.lines(contents(spark, sf)).groupBy("path").agg(F.bool_and("had_bom").alias("had_bom"), F.count(F.lit(1)).alias("lines"))
 
 
 @query(
-    f"""select key, value, file, 'main_menu' as layer, cast(row_number() over (partition by file order by line) + 1 as int) as line,
+    f"""select key, value, {_PATH} as file, 'main_menu' as layer, cast(row_number() over (partition by {_PATH} order by line) + 1 as int) as line,
     case when k % 2 = 0 then 1 else -1 end as version, false as malformed, false as "replace" from ({_ROWS}) r"""
 )
 def o09_parse(spark, sf):
@@ -165,8 +193,8 @@ def o09_parse(spark, sf):
 
 
 @query(
-    f"""select file as path, 'main_menu' as layer, 'english' as language, true as had_bom, count(*) as keys,
-    'line ' || (count(*) + 2) || ': no key separator: "bad line"' as errors from ({_ROWS}) r group by file"""
+    f"""select {_PATH} as path, 'main_menu' as layer, 'english' as language, true as had_bom, count(*) as keys,
+    'line ' || (count(*) + 2) || ': no key separator: "bad line"' as errors from ({_ROWS}) r group by 1"""
 )
 def o05_file_facts(spark, sf):
     facts = files.file_facts(files.parsed(files.lines(contents(spark, sf))))
@@ -185,10 +213,84 @@ def o12_digest(spark, sf):
     return files.digest_rows(rows.unionByName(notes))
 
 
+def written_tree(spark: SparkSession, sf: str) -> str:
+    """Writes the rows as a tree of localization files in the shared folder; its path."""
+    out = mounted(fresh_path(spark))
+    version = F.when(F.col("k") % 2 == 0, 1).otherwise(-1)
+    sinks.write_localization(made(spark, sf).select("key", version.alias("version"), F.col("value").alias("text"), "file", "layer", "line"), out)
+    return out
+
+
+_TREE = f"select *, layer || '/localization/korean/0_' || (k % 4) || '_l_korean.yml' as path from ({_ROWS}) r"
+
+
+@query(
+    f"""select key, value, path as file, layer, cast(row_number() over (partition by path order by file, line) + 1 as int) as line, case when k % 2 = 0 then 1 else -1 end as version from ({_TREE}) t"""
+)
+def o01_o16_o17_written_tree(spark, sf):
+    rows, _ = files.scan(spark, written_tree(spark, sf), "korean")
+    return rows.select("key", "value", "file", "layer", "line", "version")
+
+
+@query(f"select path, layer, 'korean' as language, true as had_bom, count(*) as keys from ({_TREE}) t group by all")
+def o02_o05_tree_facts(spark, sf):
+    return files.scan(spark, written_tree(spark, sf), "korean")[1].drop("errors")
+
+
+_CUT = "case when k % 11 = 0 then rtrim(value) else value end"
+
+
+@query(f"select k, key, {_CUT} as value, k % 11 = 0 as malformed, contains(path, '/replace/') as \"replace\" from (select *, case when k % 6 = 0 then 'a/replace/b.yml' when k % 6 = 1 then 'replace/b.yml' else file end path from ({_ROWS}) r) q")
+def o08_o11_recovered_rows(spark, sf):
+    k = F.col("k")
+    path = F.when(k % 6 == 0, "a/replace/b.yml").when(k % 6 == 1, "replace/b.yml").otherwise(F.col("file"))
+    text = F.concat(F.lit(" "), F.col("key"), F.lit(': "'), M.quote(F.col("value")), F.when(k % 11 == 0, "").otherwise('" # note'))
+    rows = made(spark, sf).select(path.alias("path"), F.lit(False).alias("had_bom"), F.col("k").cast("int").alias("line"), text.alias("text"))
+    return files.entries(files.parsed(rows)).select(F.col("line").cast("long").alias("k"), "key", "value", "malformed", "replace")
+
+
+_FAULTS = ["no key separator", "empty key", "value is not quoted"]
+
+
+@query(f"select k, case k % 4 when 0 then '{_FAULTS[0]}' when 1 then '{_FAULTS[1]}' when 2 then '{_FAULTS[2]}' end as error, k % 4 = 3 as ok from ({_ROWS}) r")
+def o06_row_errors(spark, sf):
+    k, key = F.col("k"), F.col("key")
+    text = F.when(k % 4 == 0, key).when(k % 4 == 1, ' :0 "x"').when(k % 4 == 2, F.concat(key, F.lit(": bare"))).otherwise(F.concat(key, F.lit(': "x\\"y" # z')))
+    rows = made(spark, sf).select(F.lit("p").alias("path"), F.lit(False).alias("had_bom"), k.alias("line"), text.alias("text"))
+    return files.parsed(rows).select(F.col("line").alias("k"), "r.error", ((F.col("r.kind") == "row") & (F.col("r.value") == 'x"y')).alias("ok"))
+
+
+@query(f"select template, korean, rep, class, members, pos from ({_CATALOG}) c")
+def o13_o18_catalog_file(spark, sf):
+    path = mounted(fresh_path(spark))
+    sinks.write_catalog(old_catalog(spark, sf), path)
+    return files.read_catalog(spark, path)
+
+
 @query("select n_name as term, 'r' || n_nationkey as rendering from nation")
 def o14_glossary(spark, sf):
-    terms = table(spark, sf, "nation").select(F.to_json(F.create_map("n_name", F.concat(F.lit("r"), F.col("n_nationkey").cast("string")))).alias("v"))
-    return terms.select(F.explode(F.from_json("v", "map<string,string>")).alias("term", "rendering"))
+    path = mounted(fresh_path(spark))
+    terms = {r["n_name"]: f"r{r['n_nationkey']}" for r in table(spark, sf, "nation").collect()}
+    sinks.write_json({"_comment": "names", "terms": terms}, path)
+    return files.read_glossary(spark, path)
+
+
+@query(f"select distinct layer, key from ({_ROWS}) r")
+def o19_digest_file(spark, sf):
+    path = mounted(fresh_path(spark))
+    sinks.write_digest(I.distinct_keys(made(spark, sf)), path, ["a", "b"])
+    return files.read_digest(spark, path)
+
+
+@query("select 'm/' || n_nationkey || '_l_german.yml' as path from nation where n_nationkey % 2 = 1")
+def o46_misnamed(spark, sf):
+    root = mounted(fresh_path(spark))
+    os.makedirs(f"{root}/m")
+    for r in table(spark, sf, "nation").collect():
+        language = "german" if r["n_nationkey"] % 2 else "korean"
+        with open(f"{root}/m/{r['n_nationkey']}_l_{language}.yml", "w", encoding="utf-8") as f:
+            f.write(f"l_{language}:\n")
+    return files.misnamed(spark, root, "korean")
 
 
 # 2.2 sinks
@@ -205,6 +307,42 @@ def o16_writer_rows(spark, sf):
     return made(spark, sf).select("k", sinks.output_path(F.col("file"), F.col("layer"), "english", "korean").alias("path"), sinks.line_of(F.col("key"), version, F.col("value")).alias("row"))
 
 
+@query(f"select template, class, rep, members from ({_groups(_OLD)}) g")
+def o20_json_report(spark, sf):
+    path = mounted(fresh_path(spark))
+    sinks.write_json({"groups": [r.asDict() for r in I.groups(made(spark, sf, OLD)).toLocalIterator()]}, path)
+    rows = spark.read.option("multiLine", True).schema("groups array<struct<template:string,class:string,rep:string,members:long>>").json(path)
+    return rows.select(F.inline("groups"))
+
+
+@query("select r_name as name, 'id' || r_regionkey as id, 'Localization' as tag, 'thumbnail.png' as picture, 'base' as needs, true as had_bom, 512 as width from region")
+def o21_descriptor(spark, sf):
+    rows = []
+    for r in table(spark, sf, "region").collect():
+        out = mounted(fresh_path(spark))
+        sinks.write_metadata(out, r["r_name"], f"id{r['r_regionkey']}", "1", "2", needs=("base", "Base", "2.*"))
+        sinks.write_thumbnail(out)
+        with open(f"{out}/.metadata/metadata.json", "rb") as f:
+            data = f.read()
+        about = json.loads(data.decode("utf-8-sig"))
+        with open(f"{out}/.metadata/{about['picture']}", "rb") as f:
+            width = int.from_bytes(f.read(24)[16:20], "big")
+        rows.append((about["name"], about["id"], about["tags"][0], about["picture"], about["relationships"][0]["id"], data.startswith(b"\xef\xbb\xbf"), width))
+    return spark.createDataFrame(rows, "name string, id string, tag string, picture string, needs string, had_bom boolean, width int")
+
+
+_CELLS = "select n_nationkey, n_nationkey::varchar as a, case when length(n_name) > 6 then left(n_name, 5) || '…' else n_name end as b from nation"
+
+
+@query(
+    f"""select 0::bigint as line, rpad('n_nationkey', greatest(11, (select max(length(a)) from ({_CELLS})))::int, ' ') || '  n_name' as text
+    union all select row_number() over (order by n_nationkey), rpad(a, greatest(11, (select max(length(a)) from ({_CELLS})))::int, ' ') || '  ' || b from ({_CELLS}) c"""
+)
+def o22_o40_console_table(spark, sf):
+    text = sinks.table_text(table(spark, sf, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey"), 1000, 6)
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line long, text string")
+
+
 # 2.3 scalar functions
 
 
@@ -249,6 +387,16 @@ def o30_templatize(spark, sf):
     return made(spark, sf).select("k", M.templatize(F.col("value"))["template"].alias("template"))
 
 
+MARKED = "select k, key, case when k % 3 = 0 then replace(value, ' lot ', '\ue000') when k % 3 = 1 then replace(value, ' lot ', ' \ue002\ue003 \ue001') else value end as value from ({0}) r"
+_MARKED = MARKED.format(_ROWS)
+
+
+@query(f"select t as template, count(*) as members, min(key) as rep from (select key, {_template_of('value')} t from ({_MARKED}) m) q group by 1")
+def o30_o62_private_characters(spark, sf):
+    """Texts that hold the characters which stand for tokens and numbers in a skeleton."""
+    return I.groups(spark.sql(MARKED.format(ROWS), orders=table(spark, sf, "orders"))).select("template", "members", "rep")
+
+
 @query(f"select k, value, true as ok from ({_ROWS}) r")
 def o31_detemplatize(spark, sf):
     t = M.templatize(F.col("value"))
@@ -271,7 +419,11 @@ def o35_ascii(spark, sf):
     return table(spark, sf, "documents").select("doc_id", M.ascii_only(F.col("text")).alias("ascii"))
 
 
-@query()
+_SETTLED = """select o_orderkey as k, chr(cast(44032 + o_custkey % 11172 as int)) || case when (o_custkey % 11172) % 28 = 0 then '를 ' else '을 ' end
+  || (o_orderkey % 10) || case when o_orderkey % 10 in (0, 1, 3, 6, 7, 8) then '은' else '는' end || ' 서울로 abc이(가) ⟦T1⟧와(과) 책을이' as v from orders"""
+
+
+@query(_SETTLED)
 def o36_o37_particles(spark, sf):
     return made(spark, sf, PARTICLES).select("k", polish(F.col("v")).alias("v"))
 
@@ -333,21 +485,21 @@ def o48_first_rows(spark, sf):
 
 @query(
     f"""select key, file, ordinal from (select *, row_number() over (partition by key order by ordinal, file) n from (
-    select key, file, 0 as ordinal from ({_OLD}) a where k % 4 = 0 union all select key, file, 1 from ({_NEW}) b) u) q where n = 1"""
+    select key, file, 0 as ordinal from ({renamed(_OLD, 'k % 4 <> 0')}) a union all select key, file, 1 from ({_NEW}) b) u) q where n = 1"""
 )
 def o49_first_baseline(spark, sf):
-    a = made(spark, sf, OLD).where("k % 4 = 0").select("key", "file", F.lit(0).alias("ordinal"))
+    a = made(spark, sf, renamed(OLD, "k % 4 <> 0")).select("key", "file", F.lit(0).alias("ordinal"))
     return I.first_rows(a.unionByName(made(spark, sf, NEW).select("key", "file", F.lit(1).alias("ordinal"))), "key", "ordinal", "file")
 
 
-@query(f"select key from ({_NEW}) n where key not in (select key from ({_OLD}) o where k % 3 <> 0)")
+@query(f"select key from ({_NEW}) n where key not in (select key from ({renamed(_OLD, 'k % 3 = 0')}) o)")
 def o50_added_keys(spark, sf):
-    return C.added_keys(made(spark, sf, NEW), made(spark, sf, OLD).where("k % 3 <> 0"))
+    return C.added_keys(made(spark, sf, NEW), made(spark, sf, renamed(OLD, "k % 3 = 0")))
 
 
-@query(f"select distinct key from ({_NEW}) n where key in (select key from ({_OLD}) o where k % 3 = 0)")
+@query(f"select distinct key from ({_NEW}) n where key in (select key from ({renamed(_OLD, 'k % 3 <> 0')}) o)")
 def o51_shadowed(spark, sf):
-    return C.shadowed(made(spark, sf, NEW), made(spark, sf, OLD).where("k % 3 = 0"))
+    return C.shadowed(made(spark, sf, NEW), made(spark, sf, renamed(OLD, "k % 3 <> 0")))
 
 
 @query(f"select count(distinct value) as texts, (select count(distinct t) from (select unnest({_tokens('value')}) t from ({_ROWS}) a)) as tokens from ({_ROWS}) r")
@@ -454,28 +606,33 @@ def o69_severities(spark, sf):
     return C.severities(_findings(spark, sf).withColumn("severity", C.severity("rule")))
 
 
-@query(f"select layer, count(*) as n from (select distinct key, first_value(layer) over (partition by key order by file, line) layer from ({_OLD}) o where k % 3 = 0 and key in (select key from ({_NEW}))) q group by 1")
+@query(f"select layer, count(*) as n from (select distinct key, first_value(layer) over (partition by key order by file, line) layer from ({renamed(_OLD, 'k % 3 <> 0')}) o where key in (select key from ({_NEW}))) q group by 1")
 def o70_shadowed_by_layer(spark, sf):
-    base = made(spark, sf, OLD).where("k % 3 = 0")
+    base = made(spark, sf, renamed(OLD, "k % 3 <> 0"))
     first = I.first_rows(base.select("key", "file", "line", "layer"), "key", "file", "line")
     return C.shadowed(made(spark, sf, NEW), base).join(first, "key").groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-_RENDER = f"""select e.*, {_keep('e.key', 'e.value')} as keep, case when c.korean is not null and not {_keep('e.key', 'e.value')} then true else false end as known
-  from ({_ROWS}) e left join ({_bound(_ROWS)}) b using (key) left join (select * from ({_CATALOG}) u where korean <> '') c using (template)"""
+#: Each key's last text, by its group's size and template, then by its tokens and numbers.
+_LAST = f"""select key, arg_max(template, (-n, template, t, d)) template, arg_max(value, (-n, template, t, d)) bound from (select *, count(*) over (partition by template) n from
+  (select key, value, {_template_of('value')} template, {_tokens('value')} t, regexp_extract_all(regexp_replace(value, '{M.TOKEN}', '{M.TOKEN_MARK}', 'g'), '[0-9]+') d from ({_ROWS}) a) b) c group by key"""
+_KO = f"select e.*, {_keep('e.key', 'e.value')} keep, case when c.korean is not null and not {_keep('e.key', 'e.value')} then case when c.korean = c.template then l.bound else 'K ' || l.bound end end ko from ({_ROWS}) e left join ({_LAST}) l using (key) left join (select * from ({_CATALOG}) u where korean <> '') c using (template)"
+_SOUND = f"({_difference('value', 'ko')} = '' and not (not {_blank('value')} and {_blank('ko')}))"
+_RENDER = f"""select k, case when ko is not null and ko <> value and {_SOUND} then ko else value end as text, keep as do_not_touch,
+  coalesce(ko <> value and {_SOUND}, false) as translated, not coalesce(ko <> value and {_SOUND}, false) as english, coalesce(ko <> value and not {_SOUND}, false) as fell_back from ({_KO}) q"""
 
 
-@query()
+@query(
+    f"""select count(*) as keys, count(*) filter (where translated) as translated, count(*) filter (where english) as english, count(*) filter (where do_not_touch) as do_not_touch,
+    count(*) filter (where fell_back) as fell_back, sum(octet_length(encode(text)))::bigint as bytes from ({_RENDER}) r"""
+)
 def o71_build_stats(spark, sf):
     return C.build_stats(C.render(made(spark, sf), old_catalog(spark, sf)))
 
 
-@query(f"select count(*) as keys, count(*) filter (where keep) as do_not_touch, count(*) filter (where known) as known from ({_RENDER}) r")
+@query(_RENDER)
 def o87_render(spark, sf):
-    rows = C.render(made(spark, sf), old_catalog(spark, sf))
-    known = F.col("translated") | F.col("fell_back")
-    # keys bound to another row's template with fewer places leave the source; none of these rows does
-    return rows.agg(F.count(F.lit(1)).alias("keys"), F.count_if("do_not_touch").alias("do_not_touch"), F.count_if(known).alias("known"))
+    return C.render(made(spark, sf), old_catalog(spark, sf)).select("k", "text", "do_not_touch", "translated", "english", "fell_back")
 
 
 @query(f"select template, '' as korean, rep, class, members, row_number() over (order by class, rep, template) - 1 as pos from ({_groups(_ROWS)}) g")
@@ -517,6 +674,15 @@ def o82_batches(spark, sf):
     return I.batches(table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"))).select("pos", F.col("batch").cast("long").alias("batch"), F.col("id").cast("long").alias("id"))
 
 
+@query(
+    f"""select pos, template, answer, rejection from (select k as pos, value as template, translation as answer, case when {_blank('translation')} then 'empty' when k % 17 = 0 then 'added ⟦N1⟧' else '' end as rejection from ({_PAIRS}) p) q
+    where rejection <> '' order by pos limit 20"""
+)
+def o83_rejections(spark, sf):
+    done = made(spark, sf, PAIRS).select(F.col("k").alias("pos"), F.col("value").alias("template"), F.col("translation").alias("answer"), T.gate(F.col("value"), F.col("translation")).alias("rejection"))
+    return T.rejections(done)
+
+
 # 2.9 pipelines
 
 
@@ -531,8 +697,8 @@ def o85_fallback(spark, sf):
 
 
 _FIRST = f"(select key, layer, value from (select *, row_number() over (partition by key order by file, line) n from ({_OLD}) o) q where n = 1)"
-_PACK = f"select k, key, file, case when k % 37 = 0 then 'loading_screen' else layer end as layer, line, translation as value from ({_PAIRS}) p where k % 2 = 0"
-_JOINED = f"select p.key, p.layer, p.value translation, s.value, s.layer sl, s.key is not null known, b.key is not null based from ({_PACK}) p left join {_FIRST} s using (key) left join (select distinct key from ({_NEW}) n where k % 41 = 0) b using (key)"
+_PACK = f"select k, key, file, case when k % 37 = 0 then 'loading_screen' else layer end as layer, line, translation as value from ({_PAIRS}) p"
+_JOINED = f"select p.key, p.layer, p.value translation, s.value, s.layer sl, s.key is not null known, b.key is not null based from ({_PACK}) p left join {_FIRST} s using (key) left join (select distinct key from ({renamed(_NEW, 'k % 41 <> 0')}) n) b using (key)"
 _BROKEN_HERE = " or ".join(f"({when})" for _, when in _BROKEN)
 _ALL = f"""select 'unknown-key' rule from ({_JOINED}) j where not known union all select 'shadows-baseline' from ({_JOINED}) j where known and based
   union all select 'layer-mismatch' from ({_JOINED}) j where known and sl <> layer
@@ -543,8 +709,8 @@ _ALL = f"""select 'unknown-key' rule from ({_JOINED}) j where not known union al
 
 @query(f"select rule, count(*) as n from ({_ALL}) a group by 1")
 def o55_o56_o57_o86_findings(spark, sf):
-    pack = made(spark, sf, PAIRS).where("k % 2 = 0").select("key", "file", F.when(F.col("k") % 37 == 0, "loading_screen").otherwise(F.col("layer")).alias("layer"), "line", F.col("translation").alias("value"))
-    base = made(spark, sf, NEW).where("k % 41 = 0").select("key", "file", "layer", F.lit(0).alias("ordinal"))
+    pack = made(spark, sf, PAIRS).select("key", "file", F.when(F.col("k") % 37 == 0, "loading_screen").otherwise(F.col("layer")).alias("layer"), "line", F.col("translation").alias("value"))
+    base = made(spark, sf, renamed(NEW, "k % 41 <> 0")).select("key", "file", "layer", F.lit(0).alias("ordinal"))
     found = C.findings(made(spark, sf, OLD), pack, base)
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -598,12 +764,52 @@ def o90_translate(spark, sf):
     return T.run(C.pending(old_catalog(spark, sf)), echo).select("template", "korean", "rejection")
 
 
-@query()
+@query(f"select k as pos, v as polished, true as changed from ({_SETTLED}) s")
 def o94_polish_catalog(spark, sf):
     rows = made(spark, sf, PARTICLES).select(F.col("k").alias("pos"), F.col("v").alias("korean"))
     return C.polish_catalog(rows).select("pos", "polished", "changed")
 
 
+@query(
+    """select status, case when status in (0, 408, 409, 429, 500, 529) then 4 else 1 end as calls, case when status in (0, 408, 409, 429, 500, 529) then 7.0 else 0.0 end::double as waited
+    from (select unnest([0, 400, 401, 404, 408, 409, 429, 500, 529]) as status)"""
+)
+def o92_retries(spark, sf):
+    """Calls and seconds waited for before a call is given up after three repeats, by the status of its failure; 0: none."""
+    rows = []
+    for status in (0, 400, 401, 404, 408, 409, 429, 500, 529):
+        calls, waits = [], []
+
+        def client(prompt, status=status, calls=calls):
+            calls.append(prompt)
+            raise T.CallFailed("failed", status or None)
+
+        T.ask(client, "p", 3, lambda s, waits=waits: waits.append(float(int(s))))
+        rows.append((status, len(calls), float(sum(waits))))
+    return spark.createDataFrame(rows, "status int, calls int, waited double")
+
+
+@query(
+    """select n_regionkey, 'Glossary:' || chr(10) || (select string_agg(r_name || ' = ' || r_regionkey || chr(10), '' order by r_name) from region) || chr(10)
+      || '{' || string_agg('"' || n_nationkey || '": "' || n_name || '"', ', ' order by n_nationkey) || '}' as prompt from nation group by 1"""
+)
+def o93_prompts(spark, sf):
+    terms = {r["r_name"]: str(r["r_regionkey"]) for r in table(spark, sf, "region").collect()}
+    items: dict[int, dict[int, str]] = {}
+    for r in table(spark, sf, "nation").collect():
+        items.setdefault(r["n_regionkey"], {})[r["n_nationkey"]] = r["n_name"]
+    return spark.createDataFrame([(k, T.prompt(v, terms)) for k, v in sorted(items.items())], "n_regionkey int, prompt string")
+
+
+@query(f"select template, '' as korean, rep, class, members, row_number() over (order by class, rep, template) - 1 as pos from ({_groups(_ROWS)}) g")
+def o95_init_catalog(spark, sf):
+    root, path = mounted(fresh_path(spark)), mounted(fresh_path(spark))
+    rows = made(spark, sf).select("key", F.lit(-1).alias("version"), F.col("value").alias("text"), "file", "layer", "line")
+    sinks.write_localization(rows, root, "english", "english")
+    commands.main(["build", "--src", root, "--init-catalog", path], spark, say=lambda *_: None)
+    return files.read_catalog(spark, path)
+
+
 @query(f"select key, file, line from ({_ROWS}) r where key = (select min(key) from ({_ROWS})) order by file, line limit 1")
 def o96_lookup(spark, sf):
     rows = made(spark, sf)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import textwrap
 import zlib
 from itertools import groupby
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import markup as M
 
+#: The picture that the descriptor names.
+PICTURE = "thumbnail.png"
 BOM = "﻿"
 
 
@@ -47,9 +50,16 @@ def write_localization(rendered: DataFrame, out: str, source: str = "english", t
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
     """Units in order as version-1 JSON (O-18)."""
-    units = [{k: r[k] for k in ("template", "korean", "rep", "class", "members")} for r in catalog.orderBy("pos").toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps({"version": 1, "units": units}, ensure_ascii=False, indent=2) + "\n")
+    # what is there stays until the new file is whole
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        f.write('{\n  "version": 1,\n  "units": [')
+        gap = "\n"
+        for r in catalog.orderBy("pos").toLocalIterator():
+            unit = json.dumps({k: r[k] for k in ("template", "korean", "rep", "class", "members")}, ensure_ascii=False, indent=2)
+            f.write(gap + textwrap.indent(unit, "    "))
+            gap = ",\n"
+        f.write(("]" if gap == "\n" else "\n  ]") + "\n}\n")
+    os.replace(f"{path}.new", path)
 
 
 def write_digest(keys: DataFrame, path: str, sources: list[str]) -> None:
@@ -66,18 +76,20 @@ def write_json(value: object, path: str) -> None:
         f.write(json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n")
 
 
-def write_metadata(out: str, name: str, ident: str, version: str, game_version: str, language: str = "korean") -> None:
-    """The pack's descriptor with a byte order mark, tab-indented (O-21)."""
+def write_metadata(out: str, name: str, ident: str, version: str, game_version: str, language: str = "korean", needs: tuple[str, str, str] | None = None) -> None:
+    """The pack's descriptor with a byte order mark, tab-indented (O-21). ``needs``: id, name and version of the mod it translates."""
+    tied = [{"rel_type": "dependency", "id": needs[0], "display_name": needs[1], "resource_type": "mod", "version": needs[2]}] if needs else []
     folder = os.path.join(out, ".metadata")
     os.makedirs(folder, exist_ok=True)
-    about = {"name": name, "id": ident, "version": version, "supported_game_version": game_version, "short_description": f"{name} ({language})", "tags": ["Translation"], "relationships": [], "game_custom_data": {}}
+    about = {"name": name, "id": ident, "version": version, "supported_game_version": game_version, "short_description": f"{name} ({language})", "tags": ["Localization"]}
+    about |= ({"relationships": tied} if tied else {}) | {"picture": PICTURE, "game_custom_data": {}}
     with open(os.path.join(folder, "metadata.json"), "w", encoding="utf-8") as f:
         f.write(BOM + json.dumps(about, ensure_ascii=False, indent="\t") + "\n")
 
 
 def write_thumbnail(out: str, size: int = 512, border: int = 16, fill: tuple = (28, 36, 56), edge: tuple = (200, 170, 90)) -> bool:
     """A bordered square PNG; a picture that is there already stays (O-21)."""
-    path = os.path.join(out, ".metadata", "thumbnail.png")
+    path = os.path.join(out, ".metadata", PICTURE)
     if os.path.exists(path):
         return False
     os.makedirs(os.path.dirname(path), exist_ok=True)

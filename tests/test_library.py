@@ -223,3 +223,52 @@ def test_pictures_and_descriptor(tmp_path):
     sinks.write_metadata(str(tmp_path), "n", "i", "1", "2")
     assert (tmp_path / ".metadata/metadata.json").read_bytes().startswith(b"\xef\xbb\xbf{\n\t")
     assert sinks.write_thumbnail(str(tmp_path)) and not sinks.write_thumbnail(str(tmp_path))
+
+
+def test_a_translation_like_its_source_is_english(spark):
+    rows = spark.createDataFrame([("iv2_a", "Level 1"), ("iv2_b", "Other"), ("iv2_c", "Get $A$")], "key string, value string")
+    catalog = catalog_of(spark, rows, {"Level ⟦N1⟧": "Level ⟦N1⟧", "Other": "다른", "Get ⟦T1⟧": "얻다"})
+    got = {r.key: (r.text, r.translated, r.english, r.fell_back) for r in C.render(rows, catalog).collect()}
+    assert got == {"iv2_a": ("Level 1", False, True, False), "iv2_b": ("다른", True, False, False), "iv2_c": ("Get $A$", False, True, True)}
+
+
+def test_marks_of_skeletons_are_plain_characters_in_texts(spark):
+    values = ["\ue000 x", "$A$ x", "\ue001", "7", "\ue002\ue003\ue002", "\ue002\ue004 5"]
+    rows = spark.createDataFrame([(str(k), v) for k, v in enumerate(values)], "key string, value string")
+    want = {"0": "\ue000 x", "1": "⟦T1⟧ x", "2": "\ue001", "3": "⟦N1⟧", "4": "\ue002\ue003\ue002", "5": "\ue002\ue004 ⟦N1⟧"}
+    assert {r.rep: r.template for r in I.groups(rows).collect()} == want
+
+
+def test_batches_keep_rows_without_a_position(spark):
+    rows = spark.createDataFrame([(5,), (None,), (200_000,)], "pos long")
+    assert [tuple(r) for r in I.batches(rows, 2).orderBy("batch", "id").collect()] == [(5, 0, 1), (200_000, 0, 2), (None, 1, 1)]
+
+
+def test_glossaries_of_any_size_match_alike(spark):
+    terms = [(f"Term{k}x", f"r{k}") for k in range(50)] + [("", "empty"), (None, "none"), ("ÄPFEL", "a"), ("äpfel", "b")]
+    glossary = spark.createDataFrame(terms, "term string, rendering string")
+    texts = spark.createDataFrame([(1, "a TERM7X and term12x"), (1, "term7x"), (2, "Äpfel"), (3, None)], "batch int, text string")
+    want = [(1, "", "empty"), (1, "Term12x", "r12"), (1, "Term7x", "r7"), (2, "", "empty"), (2, "ÄPFEL", "a"), (2, "äpfel", "b")]
+    for most in (3, 10_000):
+        assert sorted(map(tuple, C.relevant_terms(texts, glossary, most=most).collect())) == want
+    assert C.relevant_terms(texts, glossary.limit(0)).count() == 0
+
+
+def test_commands_without_catalog_and_with_a_client(spark, tree, tmp_path):
+    src, out, path = source_tree(tree), tmp_path / "pack", str(tmp_path / "catalog.json")
+    quiet = lambda *_: None
+    assert commands.main(["help"], spark, say=quiet) == 0
+    assert commands.main(["build", "--src", src, "--out", str(out), "--id", "my_pack", "--single-file", "--no-validate"], spark, say=quiet) == 0
+    text = (out / "main_menu/localization/korean/0_my_pack_l_korean.yml").read_bytes().decode()
+    assert ' cw_x_1: "Hi [Who] there"\n' in text
+    assert json.loads((out / ".metadata/metadata.json").read_text("utf-8-sig"))["picture"] == "thumbnail.png"
+    assert commands.main(["build", "--src", src], spark, say=quiet) == 1
+    assert commands.main(["build", "--src", src, "--init-catalog", path], spark, say=quiet) == 0
+    units = files.read_catalog(spark, path).collect()
+    assert units and all(u.korean == "" for u in units)
+    assert commands.main(["translate", "--catalog", path], spark, say=quiet) == 1
+    assert commands.main(["translate", "--catalog", path, "--client", "no_such_module:x"], spark, say=quiet) == 1
+    assert commands.main(["translate", "--catalog", path, "--batch", "1"], spark, client=lambda prompt: ('{"1": "하나"}', 1, 2), say=quiet) == 0
+    assert any(u.korean == "하나" for u in files.read_catalog(spark, path).collect())
+    counts = C.change_counts(C.compare(files.scan(spark, src)[0], files.read_catalog(spark, path))).first()
+    assert counts.unchanged == len(units) and 0 < counts.untranslated < counts.unchanged and counts.new == counts.orphaned == 0

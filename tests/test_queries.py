@@ -31,10 +31,5 @@ def test_query_equals_its_sql(spark, sf_dir, tables, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, truth.fetchall())
 
 
-@pytest.mark.parametrize("name", ["o36_o37_particles", "o71_build_stats", "o94_polish_catalog"])
-def test_queries_without_sql_run(spark, sf_dir, name):
-    assert e.queries()[name](spark, sf_dir).count() > 0
-
-
 def test_entry_runs(spark):
     assert e.entry(spark).count() > 0
