@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.shipping import ship
+from lexweave.storage import shared_folder, stored
+
+__all__ = ["cut", "dealt", "map_rows", "numbered", "stored", "table", "utf8_bytes"]
 
 #: Rows that a Python worker turns into objects at once; a record batch can hold ten thousand long texts.
 SLICE = 256
@@ -33,20 +33,6 @@ def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset, one is chosen in local mode alone, as in tests: a cluster's machines share no
-    temporary folder, so there it must be set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and returns it with a short lineage."""
     sc = df.sparkSession.sparkContext
@@ -55,16 +41,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again; the files go when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lexweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
-
-
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Adds a struct ``name`` (file, at) that tells rows apart and is the same at every read.
 
