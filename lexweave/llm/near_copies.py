@@ -175,7 +175,7 @@ def _similar(pairs: DataFrame, marks: DataFrame, docs: DataFrame, least: Fractio
     mark = lambda k: marks.select(F.col("key").alias(k), F.struct("size", "fp", "dist", "parity", "row").alias(f"{k}_mark"))
     pairs = pairs.join(mark("u"), "u").join(mark("v"), "v").where(near(F.col("u_mark"), F.col("v_mark"), least))
     pairs = cut(pairs.select("u", "v", F.col("u_mark.row").alias("u_row"), F.col("v_mark.row").alias("v_row")))
-    sets = _sets(pairs.select(F.explode(F.array("u_row", "v_row")).alias("row")).distinct(), docs)
+    sets = _sets(pairs.select(F.explode(F.array("u_row", "v_row")).alias("row")), docs)
     left, right = (sets.select(F.col("row").alias(f"{k}_row"), F.col("set").alias(f"{k}_set")) for k in "uv")
     common, total = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
     return pairs.join(left, "u_row").join(right, "v_row").where(common * (a + b) >= total * a).select("u", "v")
@@ -238,9 +238,10 @@ def classes(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", id_col
     firsts = rows.groupBy("key").agg(F.min("row").alias("row")).join(met.select("key").distinct(), "key").select("row")
     facts = ("size", "fp", "dist", "parity")
     marks = cut(rows.join(firsts, "row").select("key", "row", simhash.distances(F.col("fp")).alias("dist"), "size", "fp", "parity"))
-    chained = met.select(F.explode("before").alias("u"), F.col("key").alias("v")).distinct()
+    chained = cut(met.select(F.explode("before").alias("u"), F.col("key").alias("v")).distinct())
     edges = cut(_similar(chained, marks, docs, least))
-    joined = met.select("token", "key").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
+    stars = components(edges)
+    joined = met.select("token", "key").join(stars.withColumnRenamed("node", "key"), "key", "left")
     joined = joined.select("token", "key", F.coalesce("component", "key").alias("component"))
     # where texts of several components meet, those outside the largest one are compared with all
     open_ = joined.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
@@ -255,7 +256,7 @@ def classes(df: DataFrame, least: Fraction = LEAST, row_col: str = "row", id_col
     pairs = outside.join(known.select("token", mark.alias("v")), "token").where((u["component"] != v["component"]) & once & near(u, v, least))
     pairs = pairs.select(F.least("u.key", "v.key").alias("u"), F.greatest("u.key", "v.key").alias("v")).distinct()
     more = _similar(pairs.join(chained, ["u", "v"], "left_anti"), marks, docs, least)
-    found = components(edges.unionByName(more)).select(F.col("node").alias("key"), F.col("component").alias("class"))
+    found = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)).select(F.col("node").alias("key"), F.col("component").alias("class"))
     return rows.select("row", "id", "key").join(found, "key", "left").select("row", "id", F.coalesce("class", "key").alias("class"))
 
 

@@ -219,34 +219,32 @@ def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS)
     return dealt.mapInArrow(lambda batches: _edges(batches, radius), "u long, v long").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either has one smaller neighbour, always the same, or larger ones only."""
+    end = lambda node, smaller: F.struct(F.col(node).alias("node"), smaller.cast("long").alias("smaller"))
+    ends = edges.select(F.explode(F.array(end("u", F.col("v")), end("v", F.lit(None)))).alias("e")).select("e.*")
+    facts = ends.groupBy("node").agg(F.min("smaller").alias("a"), F.max("smaller").alias("b"), F.count_if(F.col("smaller").isNull()).alias("above"))
+    return not facts.where("a <> b or a is not null and above > 0").agg(F.count(F.lit(1))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable over the edges (u, v), for nodes that have one.
 
-    Alternating large-star and small-star steps, each a partial aggregation and a join; the edge
-    table is cut to the shared checkpoint folder after each round, and only two numbers a round come
-    to the driver.
+    Alternating large-star and small-star steps, each a partial aggregation and a join, until only stars
+    are left; the edge table is cut to the shared checkpoint folder after each round, and one number a
+    round comes to the driver. Loops and edges with a null end count for nothing, repeated ones once.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edge = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both_of = lambda df, *es: df.select(F.explode(F.array(*es)).alias("e")).select("e.u", "e.v")
+    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    while not _are_stars(edges):
+        both = both_of(edges, edge("u", "v"), edge("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = now
+        edges = cut(both_of(large.join(least, "u"), edge("v", "m"), edge("u", "m")).where("u <> v").distinct())
+    pair = lambda node: F.struct(F.col(node).alias("node"), F.col("v").alias("component"))
+    return edges.select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.*").distinct()
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import time
 import pytest
 
 import corpus_pipeline
-from lexweave.llm import decontamination, html_text, language_id, queries, sentencepiece_viterbi, token_counts, toxicity
+from lexweave.llm import decontamination, html_text, language_id, queries, sentencepiece_viterbi, simhash, token_counts, toxicity
 from lexweave.llm._common import table
 from lexweave.llm.bpe_pairs import Bounded
 
@@ -171,3 +171,27 @@ def test_long_texts_have_no_edges(monkeypatch):
     for size in (1, 2, 7, 100):
         monkeypatch.setattr(language_id, "CHUNK", size)
         assert model.decide(text) == whole
+
+
+def test_components_equal_union_find(spark):
+    """Chains, stars, loops, repeated edges and null ends, and random graphs of every density."""
+    dice = random.Random(5)
+    graphs = [[], [(1, 1)], [(1, 2), (1, 2)], [(5, None), (3, 2), (2, 3)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 300)] + [(300, 299)]]
+    for _ in range(4):
+        n = dice.randint(3, 400)
+        graphs.append([(dice.randint(-n, n), dice.randint(-n, n)) for _ in range(dice.randint(1, n))])
+    for edges in graphs:
+        up: dict[int, int] = {}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for u, v in edges:
+            if v is not None and u != v:
+                up.setdefault(u, u), up.setdefault(v, v)
+                a, b = root(u), root(v)
+                up[max(a, b)] = min(a, b)
+        got = [tuple(r) for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()]
+        assert sorted(got) == sorted((x, root(x)) for x in up)
