@@ -1,19 +1,22 @@
-"""Writers: localization files, catalogs, digests, reports. File names are chosen here, so files are
-written by the driver, streamed one partition at a time in order."""
+"""Writers: localization files, catalogs, digests, reports. File names are chosen here, so the driver puts the
+files in place: localization files from parts that tasks wrote, the others streamed one partition at a time in order."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import shutil
 import struct
 import textwrap
 import zlib
-from itertools import groupby
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import markup as M
+from lexweave.storage import fresh_path, mounted
 
 #: The picture that the descriptor names.
 PICTURE = "thumbnail.png"
@@ -36,16 +39,35 @@ def output_path(file: Column, layer: Column, source: str, target: str, single: s
 def write_localization(rendered: DataFrame, out: str, source: str = "english", target: str = "korean", single: str | None = None) -> int:
     """Writes rendered rows (key, version, text, file, layer, line) as files; returns their number (O-16, O-17)."""
     path = output_path(F.col("file"), F.col("layer"), source, target, single)
-    rows = rendered.select(path.alias("path"), line_of(F.col("key"), F.col("version"), F.col("text")).alias("row"), "file", "line")
-    count = 0
-    for name, group in groupby(rows.orderBy("path", "file", "line").toLocalIterator(), key=lambda r: r["path"]):
-        full = os.path.join(out, name)
+    rows = rendered.select(path.alias("path"), line_of(F.col("key"), F.col("version"), F.col("text")).alias("value"), "file", "line")
+    names = sorted(r["path"] for r in rows.select("path").distinct().collect())
+    # tasks write the rows in parts, in order; the driver gets the names of the files and joins their parts
+    spark, staged = rendered.sparkSession, fresh_path(rendered.sparkSession)
+    at = spark.createDataFrame(list(enumerate(names)), "at int, path string")
+    ordered = rows.join(F.broadcast(at), "path").select("at", "file", "line", "value").orderBy("at", "file", "line")
+    ordered.select("at", "value").write.partitionBy("at").option("compression", "none").option("lineSep", "\n").text(staged)
+    here = mounted(staged)
+
+    def join(k: int) -> None:
+        full = os.path.join(out, names[k])
         os.makedirs(os.path.dirname(full), exist_ok=True)
-        with open(full, "w", encoding="utf-8", newline="\n") as f:
-            f.write(f"{BOM}l_{target}:\n")
-            f.writelines(f"{r['row']}\n" for r in group)
-        count += 1
-    return count
+        with open(full, "wb") as f:
+            f.write(f"{BOM}l_{target}:\n".encode())
+            for part in sorted((x for x in os.listdir(f"{here}/at={k}") if x.startswith("part-")), key=_part):
+                with open(f"{here}/at={k}/{part}", "rb") as data:
+                    shutil.copyfileobj(data, f, 1 << 24)
+                os.remove(f"{here}/at={k}/{part}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(join, range(len(names))))
+    shutil.rmtree(here)
+    return len(names)
+
+
+def _part(name: str) -> tuple[int, int]:
+    """Task and number of a part that Spark wrote, in which parts follow each other."""
+    found = re.match(r"part-(\d+)-.*?(?:[.-]c(\d+))?(?:\.|$)", name)
+    return int(found[1]), int(found[2] or 0)
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

@@ -272,3 +272,17 @@ def test_commands_without_catalog_and_with_a_client(spark, tree, tmp_path):
     assert any(u.korean == "하나" for u in files.read_catalog(spark, path).collect())
     counts = C.change_counts(C.compare(files.scan(spark, src)[0], files.read_catalog(spark, path))).first()
     assert counts.unchanged == len(units) and 0 < counts.untranslated < counts.unchanged and counts.new == counts.orphaned == 0
+
+
+def test_a_pack_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(5000).select(
+        F.concat(F.lit("iv2_"), "id").alias("key"), F.lit(-1).alias("version"), F.lit('a "b"').alias("text"),
+        F.concat(F.lit("x/"), (F.col("id") % 3).cast("string"), F.lit("_l_english.yml")).alias("file"), F.lit("m").alias("layer"), (5000 - F.col("id")).cast("int").alias("line"),
+    )
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", None)
+    assert sinks.write_localization(rows, str(tmp_path)) == 3
+    for k in range(3):
+        got = (tmp_path / f"m/localization/korean/0_{k}_l_korean.yml").read_bytes().decode()
+        assert got == f"{BOM}l_korean:\n" + "".join(f' iv2_{i}: "a \\"b\\""\n' for i in range(4999, -1, -1) if i % 3 == k)
+    assert [sinks._part(n) for n in ("part-00011-9c-1a.c000.txt", "part-100000-9c-1a-c012.txt")] == [(11, 0), (100000, 12)]
