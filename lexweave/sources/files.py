@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import markup as M
@@ -93,20 +93,54 @@ def file_facts(rows: DataFrame) -> DataFrame:
     return facts.select("path", M.layer_of(F.col("path")).alias("layer"), "language", "had_bom", "keys", F.col("e.said").alias("errors"))
 
 
+def _relative(path: Column, root: str) -> Column:
+    base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    return F.regexp_replace(path, rf"^.*?\Q{base}\E/+", "")
+
+
+_HIDDEN = r"(^|/)\.(git|metadata)/"
+
+
 def read_tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(path, content) of a tree's files, paths relative to it; .git and .metadata folders are left out.
+    """(path, content, length) of a tree's files, paths relative to it; .git and .metadata folders are left out.
 
     Spark's listing also skips names that start with _ or a dot.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    rel = F.regexp_replace(F.col("path"), rf"^.*?\Q{base}\E/+", "")
-    return found.select(rel.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\.(git|metadata)/"))
+    return found.select(_relative(F.col("path"), root).alias("path"), "content", "length").where(~F.col("path").rlike(_HIDDEN))
+
+
+def read_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """What ``lines`` gives of a tree's files, read in splits: a file of any size is never one row.
+
+    A line's number is its place in its split, shifted by the lines of the file's splits before it. Spark's
+    reader strips the byte order mark; the bytes that its lines leave unexplained tell of it.
+    """
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+    split = [F.col(f"_metadata.file_{c}").alias(f"_{c}") for c in ("path", "block_start", "block_length")]
+    raw = found.select(*split, F.col("_metadata.file_size").alias("_size"), "value", F.monotonically_increasing_id().alias("_id"))
+    of = [f"_{c}" for c in ("path", "block_start", "block_length")]
+    counts = raw.groupBy(*of).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.sum(F.octet_length("value") + 1).alias("_bytes"), F.max("_size").alias("_size")
+    )
+    whole = Window.partitionBy("_path")
+    before = F.sum("_n").over(whole.orderBy("_block_start")) - F.col("_n")
+    # 3 bytes are the mark, one less where the last line has no end
+    bom = F.col("_size") - F.sum("_bytes").over(whole) >= 2
+    splits = counts.select(*of, (before - F.col("_first") + 1).alias("_shift"), "_first", "_last", bom.alias("had_bom"))
+    rows = raw.drop("_size").join(F.broadcast(splits), of, "left")
+    # both reads must have been cut alike
+    number = F.when(F.col("_id").between(F.col("_first"), F.col("_last")), F.col("_id") + F.col("_shift")).otherwise(F.raise_error(F.lit("a tree changed while it was read")).cast("long"))
+    numbered = rows.select("_path", "had_bom", number.cast("int").alias("line"), F.regexp_replace("value", r"\r\z", "").alias("text"))
+    numbered = numbered.select(_relative(F.col("_path"), root).alias("path"), "had_bom", "line", "text").where(~F.col("path").rlike(_HIDDEN))
+    known = splits.select(_relative(F.col("_path"), root).alias("path")).distinct()
+    bare = read_tree(spark, root, pattern).select("path", "length").where("length <= 3").join(known, "path", "left_anti")
+    return numbered.unionByName(bare.select("path", (F.col("length") == 3).alias("had_bom"), F.lit(0).alias("line"), F.lit("").alias("text")))
 
 
 def scan(spark: SparkSession, root: str, language: str = "english") -> tuple[DataFrame, DataFrame]:
     """(entries, files) of a tree's ``*_l_<language>.yml`` files (O-01)."""
-    rows = parsed(lines(read_tree(spark, root, f"*_l_{language}.yml")))
+    rows = parsed(read_lines(spark, root, f"*_l_{language}.yml"))
     return entries(rows), file_facts(rows)
 
 

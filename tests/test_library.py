@@ -274,6 +274,29 @@ def test_commands_without_catalog_and_with_a_client(spark, tree, tmp_path):
     assert counts.unchanged == len(units) and 0 < counts.untranslated < counts.unchanged and counts.new == counts.orphaned == 0
 
 
+@pytest.fixture()
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_file_is_read_in_splits(spark, tree, small_splits):
+    rows = "".join(f' iv2_{k}: "text {k} of many 글"\n' for k in range(100))
+    root = tree("m/localization/english/a_l_english.yml", "l_english:\n" + rows)
+    tree("m/localization/english/b_l_english.yml", "l_english:\r\n" + rows.rstrip("\n"), bom=False)
+    tree("m/localization/english/c_l_english.yml", "l_english:\n\n" + rows.rstrip("\n"))
+    tree("m/localization/english/d_l_english.yml", "")
+    tree("m/localization/english/e_l_english.yml", "", bom=False)
+    tree("m/localization/english/f_l_english.yml", "\n")
+    whole = files.lines(files.read_tree(spark, root, "*_l_english.yml"))
+    parts = files.read_lines(spark, root, "*_l_english.yml")
+    assert parts.rdd.getNumPartitions() > 8
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.select(parts.columns).collect()))
+    # Spark lists no file without a byte
+    assert {r.path[-15:-14] for r in parts.collect()} == set("abcdf")
+
+
 def test_a_pack_is_written_by_tasks(spark, tmp_path, monkeypatch):
     rows = spark.range(5000).select(
         F.concat(F.lit("iv2_"), "id").alias("key"), F.lit(-1).alias("version"), F.lit('a "b"').alias("text"),
