@@ -10,11 +10,12 @@ from lexweave.functions import markup as M
 UNITS = "version int, units array<struct<template:string,korean:string,rep:string,class:string,members:long>>"
 #: A line without its comment: a # inside quotes is data. Possessive, so long lines need no deep stack.
 NO_COMMENT = r'\A(?:[^"#]++|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z))*+'
-TRIM = r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+\z"
+#: Unicode's white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim(v: Column) -> Column:
-    return F.regexp_replace(v, TRIM, "")
+    return F.btrim(v, F.lit(SPACE))
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -34,42 +35,32 @@ def lines(files: DataFrame) -> DataFrame:
 def parsed(numbered: DataFrame) -> DataFrame:
     """Adds a struct ``r`` to lines: kind (skip, header, row, error), language, key, version, value, malformed, error (O-04 to O-09)."""
 
-    def values(body: Column, head: Column, digits: Column) -> Column:
-        t, colon, key = head["t"], head["colon"], head["key"]
-        header = t.rlike(r'^l_[^ \t"]*:\z')
-        fault = (
-            F.when(colon == 0, "no key separator").when(key == "", "empty key").when(~body.startswith('"'), "value is not quoted")
-        )
-        kind = F.when(t == "", "skip").when(header, "header").when(fault.isNotNull(), "error").otherwise("row")
-        # a missing closing quote: the rest of the line is the value
-        mended = M.unquote(F.concat(body, F.lit('"')))
-        return M.bound(
-            M.unquote(body),
-            lambda plain: F.struct(
-                kind.alias("kind"),
-                F.when(header, F.regexp_extract(t, "^l_(.*):$", 1)).alias("language"),
-                key.alias("key"),
-                F.coalesce(digits.try_cast("int"), F.lit(-1)).alias("version"),
-                F.when(plain["ok"], plain["value"]).otherwise(mended["value"]).alias("value"),
-                (~plain["ok"]).alias("malformed"),
-                fault.alias("error"),
-            ),
-        )
-
-    def after(rest: Column, head: Column) -> Column:
-        digits = F.regexp_extract(rest, "^[0-9]*", 0)
-        return M.bound(
-            F.struct(digits.alias("digits"), trim(F.substr(rest, F.length(digits) + 1)).alias("body")),
-            lambda d: values(d["body"], head, d["digits"]),
-        )
-
-    def divided(t: Column) -> Column:
-        colon = F.instr(t, ":")
-        head = F.struct(t.alias("t"), colon.alias("colon"), trim(F.substr(t, F.lit(1), colon - 1)).alias("key"))
-        return M.bound(head, lambda h: M.bound(trim(F.substr(t, h["colon"] + 1)), lambda rest: after(rest, h)))
-
-    bare = trim(F.regexp_extract("text", NO_COMMENT, 0))
-    return numbered.select("path", "had_bom", "line", "text", M.bound(bare, divided).alias("r"))
+    # each step is a projection of its own, so that what later steps take more than once is computed once
+    t, colon, key, rest, body, inner = (F.col(f"_{c}") for c in ("t", "colon", "key", "rest", "body", "inner"))
+    rows = numbered.select("path", "had_bom", "line", "text", trim(F.regexp_extract("text", NO_COMMENT, 0)).alias("_t"))
+    rows = rows.withColumn("_colon", F.instr(t, ":"))
+    rows = rows.withColumns({"_key": trim(F.substr(t, F.lit(1), colon - 1)), "_rest": trim(F.substr(t, colon + 1))})
+    rows = rows.withColumn("_digits", F.when(rest.startswith('"'), "").otherwise(F.regexp_extract(rest, "^[0-9]*", 0)))
+    rows = rows.withColumn("_body", F.when(F.col("_digits") == "", rest).otherwise(trim(F.substr(rest, F.length("_digits") + 1))))
+    # what an opening quote is followed by, up to a bare quote or a backslash at the end
+    rows = rows.withColumn("_inner", F.regexp_extract(body, r'\A"([^"\\]*+(?:\\[\s\S][^"\\]*+)*+)', 1))
+    closed = body.startswith('"') & (F.substr(body, F.length("_inner") + 2, F.lit(1)) == '"')
+    fault = F.when(colon == 0, "no key separator").when(key == "", "empty key").when(~body.startswith('"'), "value is not quoted")
+    rows = rows.withColumns({"_header": t.startswith("l_") & t.endswith(":") & t.rlike(r'^l_[^ \t"]*:\z'), "_closed": closed, "_fault": fault})
+    header, fault = F.col("_header"), F.col("_fault")
+    # a missing closing quote: the rest of the line is the value
+    whole = F.col("_closed") | (F.length("_body") == F.length("_inner") + 1)
+    r = F.struct(
+        F.when(t == "", "skip").when(header, "header").when(fault.isNotNull(), "error").otherwise("row").alias("kind"),
+        F.when(header, F.regexp_extract(t, "^l_(.*):$", 1)).alias("language"),
+        key.alias("key"),
+        F.coalesce(F.col("_digits").try_cast("int"), F.lit(-1)).alias("version"),
+        F.when(whole, F.replace(inner, F.lit('\\"'), F.lit('"'))).otherwise("").alias("value"),
+        (~F.col("_closed")).alias("malformed"),
+        fault.alias("error"),
+    )
+    # a generator, as a filter on what it gives stays above it; pushed below, it would parse each line again
+    return rows.select("path", "had_bom", "line", "text", F.explode(F.array(r)).alias("r"))
 
 
 def entries(rows: DataFrame) -> DataFrame:
