@@ -309,3 +309,14 @@ def test_a_pack_is_written_by_tasks(spark, tmp_path, monkeypatch):
         got = (tmp_path / f"m/localization/korean/0_{k}_l_korean.yml").read_bytes().decode()
         assert got == f"{BOM}l_korean:\n" + "".join(f' iv2_{i}: "a \\"b\\""\n' for i in range(4999, -1, -1) if i % 3 == k)
     assert [sinks._part(n) for n in ("part-00011-9c-1a.c000.txt", "part-100000-9c-1a-c012.txt")] == [(11, 0), (100000, 12)]
+
+
+def test_a_filter_on_parsed_lines_parses_none_twice(spark):
+    rows = spark.range(1).selectExpr("'p' as path", "false as had_bom", "cast(id as int) as line", "cast(id as string) as text")
+    plan = files.entries(files.parsed(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1
+
+
+def test_particles_ask_for_the_kind_without_patterns(spark):
+    plan = spark.range(1).select(fix_particles(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(" not in plan
