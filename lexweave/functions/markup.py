@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the text format: markup, placeholders, namespace marker, identifiers.
 TOKEN = r"\\n|\$[^$\n]*\$|\[[^\]\n]*\]|£[^£\n]*£|@[A-Za-z0-9_]+!|#!|#[a-zA-Z][a-zA-Z0-9_;]*"
+#: The same, faster in Java: what can't start a token is left after one look.
+_TOKEN = rf"(?=[\\$\[£@#])(?:{TOKEN})"
 PLACE = "⟦[TN][0-9]+⟧"
 MARKER = r"(?i)(^|_)(iv2|iv_2|idea_variation_2)(_|\z)"
 IDENT = r"^[A-Za-z][A-Za-z0-9_]*\z"
@@ -34,7 +36,7 @@ def blank(v: Column) -> Column:
 
 def tokens(v: Column) -> Column:
     """Markup tokens in order (O-23)."""
-    return F.regexp_extract_all(v, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(v, F.lit(_TOKEN), F.lit(0))
 
 
 def token_kind(t: Column) -> Column:
@@ -88,7 +90,7 @@ def describe_difference(source: Column, translation: Column) -> Column:
 
 def strip_tokens(v: Column) -> Column:
     """Text without its markup (O-28)."""
-    return F.regexp_replace(v, TOKEN, "")
+    return F.regexp_replace(v, _TOKEN, "")
 
 
 def classify(v: Column) -> Column:
@@ -102,7 +104,12 @@ def skeleton(v: Column) -> Column:
     for mark, written in ESCAPED.items():
         plain = F.replace(plain, F.lit(mark), F.lit(written))
     plain = F.when(v.rlike(f"[{TOKEN_MARK}-{ESCAPE}]"), plain).otherwise(v)
-    return F.regexp_replace(F.regexp_replace(plain, TOKEN, TOKEN_MARK), "[0-9]+", NUMBER_MARK)
+    return F.regexp_replace(F.regexp_replace(plain, _TOKEN, TOKEN_MARK), "[0-9]+", NUMBER_MARK)
+
+
+def class_of(skel: Column) -> Column:
+    """``classify`` of a skeleton's texts, which it decides: marks are neither blank nor letters."""
+    return F.when(blank(skel), "empty").when(skel.rlike(r"\p{L}"), "prose").otherwise("reference")
 
 
 def _count_up(skel: Column, mark: str, letter: str) -> Column:
@@ -126,7 +133,7 @@ def template_of(skel: Column) -> Column:
 
 def numbers(v: Column) -> Column:
     """Digit runs outside markup, in order."""
-    return F.regexp_extract_all(F.regexp_replace(v, TOKEN, TOKEN_MARK), F.lit("[0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(v, _TOKEN, TOKEN_MARK), F.lit("[0-9]+"), F.lit(0))
 
 
 def templatize(v: Column) -> Column:
@@ -238,6 +245,15 @@ def check_pair(key: Column, source: Column, translation: Column) -> Column:
     )
 
 
+def sound(key: Column, source: Column, translation: Column) -> Column:
+    """Whether ``check_pair`` finds nothing, of texts that aren't null."""
+    a, b = tokens(source), tokens(translation)
+    # tokens by their order first, as most pairs agree in it
+    same = (a == b) | (F.array_sort(a) == F.array_sort(b))
+    kept = ~do_not_translate(key, source) | (translation == source)
+    return ~translation.rlike(PLACE) & (blank(source) | ~blank(translation)) & same & kept
+
+
 def fallback(key: Column, source: Column, translation: Column) -> Column:
     """The translation if it breaks nothing, else the source (O-85)."""
     return F.when(F.size(check_pair(key, source, translation)) == 0, translation).otherwise(source)

@@ -15,6 +15,7 @@ from lexweave.functions import markup as M
 from lexweave.functions.particles import polish
 from lexweave.operators import inventory as I
 from lexweave.shipping import ship
+from lexweave.storage import stored
 
 #: Characters of a key that tell ranges of a catalog apart.
 RANGE_CHARS = 10
@@ -68,13 +69,15 @@ def pending(catalog: DataFrame, again: bool = False, limit: int = 0) -> DataFram
 def bind(entries: DataFrame) -> DataFrame:
     """(key, template, tokens, numbers): the last group, by size and template, that holds a key (O-53).
 
-    Rows meet their group on the skeleton; the numbered template is made once for each group.
+    A key's rows in one group become one before they meet the group's size; the numbered template is made
+    once for each group.
     """
     v = F.col("value")
     rows = entries.where(v.isNotNull()).select("key", M.skeleton(v).alias("skeleton"), M.tokens(v).alias("tokens"), M.numbers(v).alias("numbers"))
+    held = rows.groupBy("key", "skeleton").agg(F.max(F.struct("tokens", "numbers")).alias("own"))
     sizes = rows.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).select("skeleton", "n", M.template_of(F.col("skeleton")).alias("template"))
-    row = F.struct((-F.col("n")).alias("order"), "template", "tokens", "numbers")
-    last = rows.join(sizes, "skeleton").groupBy("key").agg(F.max(row).alias("r"))
+    row = F.struct((-F.col("n")).alias("order"), "template", "own.tokens", "own.numbers")
+    last = held.join(sizes, "skeleton").groupBy("key").agg(F.max(row).alias("r"))
     return last.select("key", "r.template", "r.tokens", "r.numbers")
 
 
@@ -87,21 +90,22 @@ def render(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     keeps its source and counts as english only.
     """
     known = last_units(translated(catalog)).select("template", "korean")
-    rows = entries.join(bind(entries), "key", "left").join(known, "template", "left")
     filled = M.detemplatize(F.col("korean"), F.col("tokens"), F.col("numbers"))
-    keep = M.do_not_translate(F.col("key"), F.col("value"))
-    rows = rows.withColumn("_keep", keep).withColumn("_f", F.when(F.col("korean").isNotNull() & ~keep, filled))
-    rows = rows.withColumn("_t", F.when(F.col("_f.ok"), polish(F.col("_f.value"))))
-    rows = rows.withColumn("_ok", F.size(M.check_pair(F.col("key"), F.col("value"), F.col("_t"))) == 0)
-    differs = F.coalesce(F.col("_t") != F.col("value"), F.lit(False))
-    done = differs & F.col("_ok")
+    # a key's text is filled and polished once, for all its rows
+    texts = bind(entries).join(known, "template").select("key", filled.alias("_f")).where("_f.ok").select("key", polish(F.col("_f.value")).alias("_said"))
+    key, value = F.col("key"), F.col("value")
+    rows = entries.join(texts, "key", "left").withColumn("_keep", M.do_not_translate(key, value))
+    rows = rows.withColumn("_t", F.when(~F.col("_keep"), F.col("_said")))
+    differs = F.coalesce(F.col("_t") != value, F.lit(False))
+    rows = rows.withColumn("_ok", F.when(differs, M.sound(key, value, F.col("_t"))))
+    done, fell = F.coalesce(F.col("_ok"), F.lit(False)), F.coalesce(~F.col("_ok"), F.lit(False))
     return rows.select(
         *entries.columns,
-        F.when(done, F.col("_t")).otherwise(F.col("value")).alias("text"),
+        F.when(done, F.col("_t")).otherwise(value).alias("text"),
         F.col("_keep").alias("do_not_touch"),
         done.alias("translated"),
         (~done).alias("english"),
-        (differs & ~F.col("_ok")).alias("fell_back"),
+        fell.alias("fell_back"),
     )
 
 
@@ -207,10 +211,16 @@ def compare(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     Kinds: unchanged, untranslated (unchanged prose without translation), new, changed, orphaned. A new
     template takes over the first orphan, by catalog position, whose representative key it now holds.
     """
-    now = I.groups(entries)
+    v = F.col("value")
+    # rows are read once: all else comes from the groups that hold each key
+    held = stored(entries.where(v.isNotNull()).groupBy("key", M.skeleton(v).alias("skeleton")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = stored(held.groupBy("skeleton").agg(F.min("key").alias("rep"), F.sum("n").alias("members")))
+    now = I.described(sizes)
     units = last_units(catalog).select("template", "korean")
     orphans = catalog.join(now.select("template"), "template", "left_anti")
-    holds = bind(entries).select(F.col("key").alias("rep"), F.col("template").alias("_new"))
+    named = sizes.select("skeleton", F.col("members").alias("n"), M.template_of(F.col("skeleton")).alias("template"))
+    last = held.select("key", "skeleton").join(named, "skeleton").groupBy("key").agg(F.max(F.struct((-F.col("n")).alias("order"), "template")).alias("r"))
+    holds = last.select(F.col("key").alias("rep"), F.col("r.template").alias("_new"))
     # every template that holds a key is a current one, so new is what the catalog lacks
     claims = orphans.join(holds, "rep").join(units.select(F.col("template").alias("_new")), "_new", "left_anti")
     wins = claims.groupBy("_new").agg(F.min(F.struct("pos", "template", "korean")).alias("w"))

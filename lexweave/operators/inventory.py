@@ -14,12 +14,17 @@ def groups(entries: DataFrame, key: str = "key", value: str = "value") -> DataFr
     """(template, class, rep, members) for each template (O-62).
 
     Grouped on the skeleton, which has no numbering to compute, so the map-side aggregation is cheap;
-    the numbered template is built once for each group.
+    the numbered template and the class, which the skeleton decides, are made once for each group.
     """
     v = F.col(value)
-    rows = entries.where(v.isNotNull()).select(F.col(key).alias("key"), M.skeleton(v).alias("skeleton"), M.classify(v).alias("class"))
-    grouped = rows.groupBy("skeleton").agg(F.min("class").alias("class"), F.min("key").alias("rep"), F.count(F.lit(1)).alias("members"))
-    return grouped.select(M.template_of(F.col("skeleton")).alias("template"), "class", "rep", "members")
+    rows = entries.where(v.isNotNull()).select(F.col(key).alias("key"), M.skeleton(v).alias("skeleton"))
+    return described(rows.groupBy("skeleton").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("members")))
+
+
+def described(grouped: DataFrame) -> DataFrame:
+    """Groups of skeletons, with their template and class in place of the skeleton."""
+    skeleton = F.col("skeleton")
+    return grouped.select(M.template_of(skeleton).alias("template"), M.class_of(skeleton).alias("class"), "rep", "members")
 
 
 def members(entries: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

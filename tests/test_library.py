@@ -320,3 +320,11 @@ def test_a_filter_on_parsed_lines_parses_none_twice(spark):
 def test_particles_ask_for_the_kind_without_patterns(spark):
     plan = spark.range(1).select(fix_particles(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract(" not in plan
+
+
+def test_a_comparison_reads_its_rows_once(spark):
+    rows = spark.range(20).selectExpr("concat('iv2_', id) as key", "concat('Text $A$ ', id % 3, ' x', chr(int(97 + id % 5))) as value")
+    plan = C.compare(rows, C.from_groups(I.groups(rows)).limit(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 20") <= 2
+    held = {r.key: r.template for r in C.bind(rows).collect()}
+    assert len(held) == 20 and held["iv2_0"] == "Text ⟦T1⟧ ⟦N1⟧ xa"
